@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import neardup
+from textloom.llm import mixing, neardup, splits
+from textloom.session import materialize
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -24,6 +25,36 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("id", "file_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = splits.spellings_together(_read(spark, folder, "code_files"), _read(spark, folder, "repo_links"))
+    return pairs.select(F.col("a").alias("repo_a"), F.col("b").alias("repo_b"))
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_records(_read(spark, folder, "code_files"), _read(spark, folder, "repo_links"))
+
+
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = p3_splits(spark, folder).groupBy("split").agg(F.count("*").alias("files"), F.countDistinct("group").alias("groups"))
+    return sizes.withColumn("share", F.round(F.col("files") / F.sum("files").over(Window.partitionBy(F.lit(0))), 4))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    files = mixing.class_sizes(_read(spark, folder, "code_files"))
+    return mixing.short_classes(files, _read(spark, folder, "mix_targets")).select("class_key")
+
+
+def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    files = materialize(mixing.class_sizes(_read(spark, folder, "code_files")), "classed")
+    return mixing.mix(files, _read(spark, folder, "mix_targets"))
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    files = materialize(mixing.class_sizes(_read(spark, folder, "code_files")), "classed")
+    targets = _read(spark, folder, "mix_targets")
+    return mixing.report(mixing.mix(files, targets), files, targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
