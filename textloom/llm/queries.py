@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, neardup, splits
+from textloom.llm import budget, leaks, mixing, neardup, packing, splits
 from textloom.session import materialize
 
 
@@ -55,6 +55,51 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.mix(files, targets), files, targets)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.wrong_lengths(_read(spark, folder, "doc_index"), _read(spark, folder, "code_files")).select("file_id")
+
+
+def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Usable tokens by domain, source, language and framework: code by the pre-tokenizer, texts by a public tokenizer."""
+    files, docs = _read(spark, folder, "code_files"), _read(spark, folder, "documents")
+    dims = ["domain", "source", "lang", "framework"]
+    code = files.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("code", "lang", "framework", "path", "source")))
+    code = code.select("file_id", "code", F.lit("code").alias("domain"), "source", budget.code_language(F.col("lang"), F.col("path")).alias("lang"), budget.label(F.col("framework")).alias("framework"))
+    index = _read(spark, folder, "doc_index").groupBy("file_id").agg(F.max(budget.label(F.col("framework"))).alias("indexed"))
+    code = code.join(index, "file_id", "left").withColumn("framework", F.coalesce("framework", "indexed")).drop("indexed")
+    texts = docs.select("text", F.lit("text").alias("domain"), "source", budget.text_language(F.col("text"), F.col("lang")).alias("lang"), F.lit(None).cast("string").alias("framework"))
+    cube = None
+    for part, text, tokenizer in ((code, "code", budget.pieces_tokenizer()), (texts, "text", budget.file_tokenizer())):
+        counts = materialize(budget.update_counts(None, part, text, tokenizer), "counts")
+        delta = budget.signed_delta(None, budget.with_tokens(part.where(F.col(text) != ""), text, counts, tokenizer), dims)
+        cube = budget.apply_delta(cube, delta, dims)
+    return budget.roll_up(cube, dims)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_containers(spark, folder).where("part > 0").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(materialize(p8_containers(spark, folder), "packed"))
+
+
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_spans(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(p9_spans(spark, folder))
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.without_leaks(_read(spark, folder, "documents"), p9_spans(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
