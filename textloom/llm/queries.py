@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import budget, leaks, mixing, neardup, packing, splits
+from textloom.llm import budget, history, leaks, mixing, neardup, packing, splits
 from textloom.session import materialize
 
 
@@ -76,6 +76,20 @@ def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.roll_up(cube, dims)
 
 
+def p7_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """All batches in their order against the history of ``code_files``. Taking them at once, in order, gives the same as
+    one by one, as a row is held against earlier accepted rows only."""
+    files = _read(spark, folder, "code_files")
+    size = files.count()
+    store = history.FingerprintStore(spark, expected=40 * size)
+    history.load_history(store, files, "file_id", "code")
+    return history.ingest(store, _read(spark, folder, "incoming_files"), files, "new_id", "code", ["batch_no"], "file_id")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_decisions(spark, folder).where("not accepted").select(F.col("id").alias("new_id"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where("part > 0").select("doc_id").distinct()
 
