@@ -142,6 +142,24 @@ def winnow(hashes: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndar
     return _distinct(owner[whole], least[whole], len(counts))
 
 
+def winnow_long(flat: np.ndarray, counts: np.ndarray, hashes: np.ndarray, n_runs: np.ndarray, long: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed hashes of ``long`` tokens in a row. A text of fewer than 2 * (long + window) tokens also gives all its
+    runs, so that a short text meets another that is barely long enough for a window."""
+    have = np.maximum(counts - (long - 1), 0)
+    rolled = np.zeros(len(flat) + 1, np.uint64)
+    padded = np.concatenate((flat, np.zeros(long, np.uint64)))
+    for k in range(long):
+        rolled += padded[k : k + len(rolled)] * np.uint64(_STEP * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
+    start, own = np.concatenate(([0], np.cumsum(counts)))[:-1], np.concatenate(([0], np.cumsum(have)))
+    at = np.arange(own[-1]) - np.repeat(own[:-1] - start, have)
+    full = np.flatnonzero(have)
+    values, k = winnow(mix(rolled[at] ^ np.uint64(_STEP)), have[full], window)
+    owner = np.repeat(full, k)
+    small = np.repeat(counts < 2 * (long + window), n_runs)
+    owner = np.concatenate((owner, np.repeat(np.arange(len(counts)), n_runs)[small]))
+    return _distinct(owner, np.concatenate((values, hashes[small])), len(counts))
+
+
 def distinct_runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The set of each text: its distinct run hashes in ascending order, and their number for each text."""
     return _distinct(np.repeat(np.arange(len(counts), dtype=np.int64), counts), hashes, len(counts))

@@ -5,9 +5,11 @@ them that are cut into slices by fingerprint. A batch is fingerprinted; its fing
 only those that pass are looked up in the store; pairs that share one are verified on their exact sets of token runs;
 accepted rows are added to the store and to the filters.
 
-Two texts that have ``WINDOW`` successive token runs in common share a fingerprint. An edit inside a text costs at least
-eight differing runs on the two sides together, so texts of similarity 0.8 have such a stretch: n runs in all leave room
-for n / 40 edits. A fingerprint that very many texts share is joined in blocks, with sketches deciding inside the join.
+Fingerprints are hashes of ``LONG`` tokens in a row, winnowed by windows of ``WINDOW``, so two texts with LONG + WINDOW - 1
+tokens in a row in common share one. An edit inside a text costs at least nine differing runs of five on the two sides
+together, so texts of similarity 0.8 and n runs have room for about n / 45 edits between them, and such a stretch
+remains; texts too short for that also give all their runs of five. A fingerprint that very many texts share is joined
+in blocks, with sketches deciding inside the join.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import fingerprint as fp
-from textloom.llm.neardup import BLOCK, SKETCH_AGREE, run_sets, verified
+from textloom.llm.neardup import BLOCK, SKETCH_AGREE, differing, run_sets, sketch_words, verified
 from textloom.session import join_checked, materialize, scratch_dir
 
-WINDOW = 16
+#: Tokens of a fingerprint, and fingerprints of a window.
+LONG, WINDOW = 12, 12
 #: Registers of the signature whose bits make a sketch.
 SKETCH = 128
 #: A slice's filter: bits, fingerprints it is made for (ten bits each), and hash functions.
@@ -45,7 +48,7 @@ def profiles(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
                 flat, counts = fp.token_hashes([texts[i] for i in own])
                 hashes, n = fp.runs(flat, counts)
                 bits, classes = fp.sketch(fp.superminhash(hashes, n, SKETCH)), fp.text_keys(flat, counts)
-                prints, m = fp.winnow(hashes, n, window)
+                prints, m = fp.winnow_long(flat, counts, hashes, n, LONG, window)
                 lists = lambda values, k: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(k))).astype(np.int32), values)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(own)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists(bits.ravel(), np.full(len(own), bits.shape[1])), lists(prints.view(np.int64), m)], names=["id", "c0", "c1", "sketch", "prints"]
@@ -139,13 +142,12 @@ def sharing(left: DataFrame, right: DataFrame, earlier=None, block: int = BLOCK,
     blocks, and its right rows are repeated for each."""
     blocks = left.groupBy("print").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    a = left.join(blocks, "print").select("print", own.alias("block"), F.col("id").alias("a"), F.col("sketch").alias("sa"), *([F.col("ord").alias("oa")] if earlier else []))
-    b = right.join(blocks, "print").select("print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("sketch").alias("sb"), *([F.col("ord").alias("ob")] if earlier else []))
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    a = left.join(blocks, "print").select("print", own.alias("block"), F.col("id").alias("a"), *sketch_words("a"), *([F.col("ord").alias("oa")] if earlier else []))
+    b = right.join(blocks, "print").select("print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), *sketch_words("b"), *([F.col("ord").alias("ob")] if earlier else []))
     pairs = a.join(b, ["print", "block"])
     if earlier:
         pairs = pairs.where(F.col("oa") < F.col("ob"))
-    return pairs.where(differing <= int((1 - agree) * SKETCH)).select("a", "b").distinct()
+    return pairs.where(differing() <= int((1 - agree) * SKETCH)).select("a", "b").distinct()
 
 
 def _sets(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import fingerprint as fp
@@ -67,10 +67,19 @@ def candidates(sig: DataFrame, classes: DataFrame, bits: int = BANDS * ROWS, blo
     shared = materialize(shared.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bands")
     banded = materialize(join_checked(banded, shared, "band"), "banded")
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    left = banded.select("band", own.alias("block"), F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = banded.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    return left.join(right, ["band", "block"]).where(F.col("a") < F.col("b")).where(differing <= int((1 - agree) * bits)).select("a", "b").distinct()
+    left = banded.select("band", own.alias("block"), F.col("id").alias("a"), *sketch_words("a"))
+    right = banded.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), *sketch_words("b"))
+    return left.join(right, ["band", "block"]).where(F.col("a") < F.col("b")).where(differing() <= int((1 - agree) * bits)).select("a", "b").distinct()
+
+
+def sketch_words(side: str) -> list[Column]:
+    """A sketch's two words as columns of their own, so that comparing them is compiled code."""
+    return [F.col("sketch")[i].alias(f"{side}{i}") for i in range(2)]
+
+
+def differing() -> Column:
+    """Bits in which the sketches of sides a and b differ."""
+    return F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
 
 
 def run_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,7 +97,7 @@ def run_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.mapInArrow(work, "id long, runs array<long>")
 
 
-def similarity(left: str, right: str):
+def similarity(left: str, right: str) -> Column:
     shared = F.size(F.array_intersect(left, right))
     return shared / (F.size(left) + F.size(right) - shared)
 
