@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,22 @@ def open_session(app: str = "textloom", master: str | None = None, partitions: i
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="textloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "textloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._textloom_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
