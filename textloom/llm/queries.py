@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import budget, history, leaks, mixing, neardup, packing, splits
+from textloom.llm import budget, history, leaks, mixing, neardup, packing, splits, subjects
 from textloom.session import materialize
 
 
@@ -114,6 +114,18 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(_read(spark, folder, "documents"), p9_spans(spark, folder))
 
 
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(*(_read(spark, folder, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p10_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.leaf_report(*(_read(spark, folder, t) for t in ("documents", "subject_labels", "subjects")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
