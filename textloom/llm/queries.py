@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import budget, history, leaks, mixing, neardup, packing, splits, subjects
+from textloom.llm import budget, handwritten, history, leaks, mixing, neardup, packing, splits, subjects
 from textloom.session import materialize
 
 
@@ -76,6 +76,16 @@ def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.roll_up(cube, dims)
 
 
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    files = _read(spark, folder, "code_files")
+    attributes = files.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).select("repo", "path", F.col("code").alias("text"))
+    return handwritten.not_handwritten(files, attributes).withColumnRenamed("id", "file_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_kinds(spark, folder).select("file_id")
+
+
 def p7_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """All batches in their order against the history of ``code_files``. Taking them at once, in order, gives the same as
     one by one, as a row is held against earlier accepted rows only."""
