@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import budget, handwritten, history, leaks, mixing, neardup, packing, splits, subjects
+from textloom.llm import budget, handwritten, history, leaks, mixing, neardup, packing, splits, subjects, syntax
 from textloom.session import materialize
 
 
@@ -76,6 +76,19 @@ def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.roll_up(cube, dims)
 
 
+def p4_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.parsed(_read(spark, folder, "code_files")).withColumnRenamed("id", "file_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_parsed(spark, folder).where("status <> 'ok'").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    files = _read(spark, folder, "code_files")
+    return syntax.rates(files, materialize(syntax.parsed(files), "parsed"))
+
+
 def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
     files = _read(spark, folder, "code_files")
     attributes = files.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).select("repo", "path", F.col("code").alias("text"))
