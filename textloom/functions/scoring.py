@@ -52,25 +52,36 @@ def penalised(logits: Column, recent: Column, penalty: float) -> Column:
     return F.transform(logits, lambda v, i: F.when(F.array_contains(recent, i), F.when(v > 0, v / penalty).otherwise(v * penalty)).otherwise(v))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not again for each element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def top_k(logits: Column, k: int) -> Column:
     """Logits below the k-th greatest become null; ties with it stay."""
     least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
-    return F.transform(logits, lambda v: F.when(v >= least, v))
+    return _let(least, lambda t: F.transform(logits, lambda v: F.when(v >= t, v)))
 
 
 def softmax(logits: Column) -> Column:
     """Probabilities; nulls stay out and stay null."""
-    most = F.array_max(logits)
-    parts = F.transform(logits, lambda v: F.exp(v - most))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    return F.transform(parts, lambda v: v / total)
+    parts = _let(F.array_max(logits), lambda most: F.transform(logits, lambda v: F.exp(v - most)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return _let(parts, lambda xs: _let(total(xs), lambda t: F.transform(xs, lambda v: v / t)))
 
 
 def min_p(logits: Column, share: float) -> Column:
     """Logits whose probability is less than ``share`` of the greatest one become null."""
-    p = softmax(logits)
-    most = F.array_max(p)
-    return F.transform(F.arrays_zip(logits.alias("v"), p.alias("p")), lambda x: F.when(x["p"] >= share * most, x["v"]))
+    return _let(F.array_max(logits), lambda most: F.transform(logits, lambda v: F.when(F.exp(v - most) >= share, v)))
+
+
+def top_p(logits: Column, share: float) -> Column:
+    """Logits after those whose probabilities, from the greatest down, reach ``share`` become null; the one that crosses it
+    stays, and so do ties with it."""
+    ordered = F.sort_array(softmax(logits), asc=False)
+    step = lambda s, p: F.struct((s["sum"] + F.coalesce(p, F.lit(0.0))).alias("sum"), F.when(s["sum"] < share, p).otherwise(s["least"]).alias("least"))
+    least = F.aggregate(ordered, F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("least")), step, lambda s: s["least"])
+    return _let(F.struct(softmax(logits).alias("p"), least.alias("t")), lambda x: F.zip_with(logits, x["p"], lambda v, p: F.when(p >= x["t"], v)))
 
 
 def banned_by_ngram(history: Column, n: int) -> Column:

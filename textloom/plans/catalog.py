@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import corpus
+from textloom.plans import corpus, sequences
 
-_PARTS = (corpus,)
+_PARTS = (corpus, sequences)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import code as C
+from textloom.functions import python_code
 from textloom.functions.chance import held_out
 from textloom.operators import dedup, reports, selection
 from textloom.session import materialize
@@ -172,6 +173,24 @@ def banned_pieces(spark, folder):
     return read(spark, folder, "code_files").select("file_id", C.first_banned(F.col("code"), _BANNED).alias("banned"))
 
 
+@query()
+def clean_documents(spark, folder):
+    """The whole cleaning: tags, noise with the parse of Python files, licence heads; then quality again."""
+    lang = C.language(F.col("path"))
+    rows = read(spark, folder, "code_files").select("file_id", "path", lang.alias("lang"), C.strip_metadata(F.col("code")).alias("code"))
+    noise = C.noise_reason(F.col("code"), F.col("path"), F.col("lang"))
+    rows = rows.withColumn("reason", noise)
+    broken = F.when(F.col("reason").isNull() & (F.col("lang") == "py"), ~python_code.python_parses(F.when(F.col("reason").isNull() & (F.col("lang") == "py"), F.col("code"))))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(broken, "py_syntax"))).withColumn("code", C.strip_license(F.col("code")))
+    return rows.select("file_id", F.coalesce("reason", C.quality_reason(F.col("code"))).alias("reason"), F.octet_length("code").alias("bytes"))
+
+
+@query()
+def python_safety(spark, folder):
+    rows = read(spark, folder, "code_files").where("lang = 'py' and code is not null")
+    return rows.select("file_id", python_code.python_unsafe(F.col("code")).alias("unsafe"), F.round(python_code.python_retention(F.col("code")), 6).alias("retention"))
+
+
 # Mixtures -------------------------------------------------------------------------------------------------------------
 @query(f"SELECT class_key, sum(length)::BIGINT AS tokens, count(*) AS docs FROM {INDEX} WHERE class_key IS NOT NULL AND NOT hold GROUP BY 1")
 def class_tokens(spark, folder):
