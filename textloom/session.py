@@ -71,6 +71,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores where it has fewer, as a small file is one task however much work its
+    rows are; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; counts no further than one row past the limit."""
     return df.limit(limit + 1).count() <= limit
