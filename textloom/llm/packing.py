@@ -93,8 +93,6 @@ def pack_texts(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, p
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens in them, the share of room used and the texts that were cut."""
-    used = packed.where("container is not null")
-    each = used.groupBy("container").agg(F.sum("tokens").alias("t"))
-    cut = used.where("part > 0").agg(F.count_if(F.col("part") == 1).alias("cut_texts"))
-    sums = each.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return sums.crossJoin(F.broadcast(cut)).withColumn("used", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
+    each = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"), F.count_if(F.col("part") == 1).alias("c"))
+    sums = each.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.sum("c").alias("cut_texts"))
+    return sums.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
