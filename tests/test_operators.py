@@ -238,3 +238,10 @@ def test_reports(spark):
     configs = spark.createDataFrame([("base", 0.6, 0.5, 0.1), ("x", 0.64, 0.5, 0.1), ("y", 0.9, 0.2, 0.1), ("z", 0.8, 0.5, 0.0)], "name string, objective double, on_topic double, mean_repeat double")
     assert reports.choose(configs, "base").first()[0] == "base"
     assert reports.choose(configs.unionByName(spark.createDataFrame([("w", 0.66, 0.46, 0.2)], configs.schema)), "base").first()[0] == "w"
+
+
+def test_against_an_earlier_corpus(spark):
+    a, b, c = chain()
+    base = dedup.signatures(spark.createDataFrame([(1, b), (2, b)], "id long, t string"), "id", "t").select("signature")
+    new = dedup.signatures(spark.createDataFrame([(5, a), (6, c), (7, "something else altogether here"), (8, None)], "id long, t string"), "id", "t")
+    assert sorted(r["id"] for r in dedup.met_before(new, base, "id").collect()) == [5, 6]

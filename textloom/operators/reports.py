@@ -51,11 +51,11 @@ def two_level(rows: DataFrame, unit: str, value: str, by: list[str] | None = Non
 
 def choose(configs: DataFrame, base: str, name: str = "name", score: str = "objective", topic: str = "on_topic", repeat: str = "mean_repeat", tolerance: float = 0.05, gain: float = 0.05) -> DataFrame:
     """One row: the best admissible configuration, or the base unless it is beaten by ``gain``. Ties go to the first name."""
-    start = configs.where(F.col(name) == base).select(F.col(score).alias("_s"), F.col(topic).alias("_t"))
-    seen = configs.crossJoin(F.broadcast(start.limit(1)))  # by the one base row
-    fit = seen.where((F.col(name) == base) | ((F.col(topic) >= F.col("_t") - tolerance) & (F.col(repeat) > 0)))
-    best = fit.agg(F.max_by(F.struct(name, score), F.struct(F.col(score), F.expr(f"-1 * conv(substr(md5({name}), 1, 8), 16, 10)"))).alias("x"), F.first("_s").alias("_s"))
-    return best.select(F.when(F.col(f"x.{score}") - F.col("_s") >= gain, F.col(f"x.{name}")).otherwise(base).alias("chosen"))
+    start = configs.where(F.col(name) == base).agg(F.max(score), F.max(topic)).first()
+    fit = configs.where((F.col(name) == base) | ((F.col(topic) >= F.lit(start[1]) - tolerance) & (F.col(repeat) > 0)))
+    fit = fit.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)))  # as many rows as there are configurations
+    best = fit.agg(F.max_by(F.struct(name, score), F.struct(F.col(score), (F.lit(1 << 62) - F.col("_n")).alias("first"))).alias("x"))
+    return best.select(F.when(F.col(f"x.{score}") - F.lit(start[0]) >= gain, F.col(f"x.{name}")).otherwise(base).alias("chosen"))
 
 
 def key_difference(want: DataFrame, have: DataFrame, key: str = "key") -> DataFrame:

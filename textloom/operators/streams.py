@@ -33,9 +33,9 @@ def padded(ids: Column, length: int, pad: int = PAD) -> Column:
 def extend_vocabulary(vocabulary: DataFrame, new: DataFrame) -> DataFrame:
     """``(token, id)`` with the tokens of ``new(token, rank)`` that are not known yet appended in order; no id moves."""
     fresh = new.join(vocabulary, "token", "left_anti").groupBy("token").agg(F.min("rank").alias("rank"))
-    top = vocabulary.agg(F.max("id").alias("top"))
-    placed = fresh.withColumn("i", F.row_number().over(Window.orderBy("rank", "token"))).crossJoin(F.broadcast(top))  # a handful of new tokens by one row
-    return vocabulary.select("token", "id").unionByName(placed.select("token", (F.coalesce("top", F.lit(-1)) + F.col("i")).cast(vocabulary.schema["id"].dataType).alias("id")))
+    top = vocabulary.agg(F.max("id")).first()[0]
+    placed = fresh.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", "token")))  # a handful of new tokens
+    return vocabulary.select("token", "id").unionByName(placed.select("token", (F.lit(-1 if top is None else top) + F.col("i")).cast(vocabulary.schema["id"].dataType).alias("id")))
 
 
 def spans(stream: DataFrame, by: str = "stream", pos: str = "pos", token: str = "token") -> DataFrame:

@@ -307,8 +307,8 @@ def holdout(spark, folder):
 @query(f"WITH h AS (SELECT repo, coalesce({_CRC} % 100 = 0, false) AS held FROM {INDEX} WHERE repo IS NOT NULL) SELECT held, count(*) AS docs, count(DISTINCT repo) AS repos, (SELECT count(*) FROM (SELECT repo FROM h WHERE held INTERSECT SELECT repo FROM h WHERE NOT held)) AS shared FROM h GROUP BY held")
 def holdout_disjoint(spark, folder):
     rows = index(spark, folder).where("repo is not null").select("repo", held_out(F.col("repo")).alias("held"))
-    both = rows.groupBy("repo").agg(F.count_distinct("held").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared"))
-    return rows.groupBy("held").agg(F.count("*").alias("docs"), F.count_distinct("repo").alias("repos")).crossJoin(F.broadcast(both))
+    shared = rows.groupBy("repo").agg(F.count_distinct("held").alias("n")).where("n > 1").count()
+    return rows.groupBy("held").agg(F.count("*").alias("docs"), F.count_distinct("repo").alias("repos")).withColumn("shared", F.lit(shared).cast("long"))
 
 
 @query(f"SELECT framework, count(*) AS docs, sum(length)::BIGINT AS tokens FROM {INDEX} WHERE NOT used_v1 AND NOT hold AND framework IS NOT NULL GROUP BY 1")
