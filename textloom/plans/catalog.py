@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import corpus, sequences
+from textloom.plans import corpus, evaluation, sequences
 
-_PARTS = (corpus, sequences)
+_PARTS = (corpus, sequences, evaluation)
 
 
 def queries() -> dict:
