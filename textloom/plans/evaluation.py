@@ -119,12 +119,13 @@ def combined_settings(spark, folder):
     return E.combinations(E.family_winners(_tuned(spark, folder)))
 
 
-@query("SELECT n, [n // 3 + (n % 3 > 0)::INT, n // 3 + (n % 3 > 1)::INT, n // 3] AS parts, 6 * (4 * 512 * 512 + 3 * 512 * n + 2 * 512) + 16000 * 512 + 512 AS params FROM (SELECT DISTINCT (event_id % 100)::BIGINT AS n FROM events)")
+@query("SELECT n, n // 3 + (n % 3 > 0)::INT AS first, n // 3 + (n % 3 > 1)::INT AS second, n // 3 AS third, 6 * (4 * 512 * 512 + 3 * 512 * n + 2 * 512) + 16000 * 512 + 512 AS params FROM (SELECT DISTINCT (event_id % 100)::BIGINT AS n FROM events)")
 def counts_and_parameters(spark, folder):
     n = F.col("n")
     rows = read(spark, folder, "events").select((F.col("event_id") % 100).cast("long").alias("n")).distinct()
     lit = lambda v: F.lit(v).cast("long")
-    return rows.select("n", E.thirds(n).alias("parts"), E.parameters(lit(512), n, lit(6), lit(16000), F.lit(True)).alias("params"))
+    part = E.thirds(n)
+    return rows.select("n", *(part[i].alias(c) for i, c in enumerate(("first", "second", "third"))), E.parameters(lit(512), n, lit(6), lit(16000), F.lit(True)).alias("params"))
 
 
 @query(f"SELECT coalesce(lang, '(all)') AS lang, count(*) AS docs, round(sum(strlen(text)) / sum(len(ids)), 6) AS bytes_per_token, round(sum(len(ids)) / count(*), 6) AS tokens_per_doc FROM (SELECT d.lang, text, ids FROM {DOCS} d JOIN documents USING (doc_id)) GROUP BY GROUPING SETS ((), (lang))")
