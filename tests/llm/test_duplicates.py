@@ -178,3 +178,23 @@ def test_an_empty_store_and_an_empty_batch(spark):
 def test_first_wins_on_a_chain(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 9), (4, 9)], "a long, b long")
     assert sorted(r[0] for r in history.first_wins(links).collect()) == [2, 4, 9]
+
+
+def test_lists_in_another_order_are_found(spark):
+    rng = random.Random(11)
+    forms = ("export * as {} ;", "register({});", "self.{} = None")
+    old, new = [], []
+    for i in range(18):
+        lines = [forms[i % 3].format(f"n{i}x{k}") for k in range(80)]
+        old.append((i, "\n".join(lines)))
+        new.append((1000 + i, 1, "\n".join(rng.sample(lines, 80))))
+        new.append((2000 + i, 2, "\n".join(rng.sample([x.replace("n", "m") for x in lines], 80))))  # met inside the batch
+        new.append((3000 + i, 3, "\n".join(rng.sample([x.replace("n", "m") for x in lines], 80))))
+    past = spark.createDataFrame(old, "file_id long, code string")
+    batch = spark.createDataFrame(new, "new_id long, batch_no int, code string")
+    store = history.FingerprintStore(spark)
+    history.load_history(store, past, "file_id", "code")
+    got = history.ingest(store, batch, past, "new_id", "code", ["batch_no"], "file_id").collect()
+    want = reference_decisions([t for _, t in old], [(i, t) for i, _, t in sorted(new, key=lambda x: x[1:2])])
+    assert sum(want.values()) < len(want)
+    assert {r["id"]: r["accepted"] for r in got} == want

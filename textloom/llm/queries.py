@@ -104,7 +104,7 @@ def p7_decisions(spark: SparkSession, folder: str) -> DataFrame:
     one by one, as a row is held against earlier accepted rows only."""
     files = _read(spark, folder, "code_files")
     size = files.count()
-    store = history.FingerprintStore(spark, expected=40 * size)
+    store = history.FingerprintStore(spark, expected=(40 + history.BANDS) * size)
     history.load_history(store, files, "file_id", "code")
     return history.ingest(store, _read(spark, folder, "incoming_files"), files, "new_id", "code", ["batch_no"], "file_id")
 
