@@ -245,3 +245,16 @@ def test_against_an_earlier_corpus(spark):
     base = dedup.signatures(spark.createDataFrame([(1, b), (2, b)], "id long, t string"), "id", "t").select("signature")
     new = dedup.signatures(spark.createDataFrame([(5, a), (6, c), (7, "something else altogether here"), (8, None)], "id long, t string"), "id", "t")
     assert sorted(r["id"] for r in dedup.met_before(new, base, "id").collect()) == [5, 6]
+
+
+def test_banned_ngrams_of_whole_documents(spark, tmp_path):
+    from textloom.plans import sequences
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (0, 1, 2, 40, 198, 260, 700)] + ["x y " + "q " * 250 + "x y z x y w x"]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in sequences.token_docs(spark, str(tmp_path)).collect():
+        h = list(r["ids"])
+        want[r["doc_id"]] = len({h[i + 2] for i in range(len(h) - 2) if h[i : i + 2] == h[-2:]})
+    assert {tuple(r) for r in sequences.banned_ngrams(spark, str(tmp_path)).collect()} == set(want.items())

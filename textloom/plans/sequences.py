@@ -385,7 +385,7 @@ def nucleus(spark, folder):
     "SELECT doc_id, len(list_distinct(list_transform(list_filter(range(1, len(h) - 1), lambda i: list_slice(h, i, i + 1) = last), lambda i: h[i + 2]))) AS banned FROM b"
 )
 def banned_ngrams(spark, folder):
-    return token_docs(spark, folder).select("doc_id", F.size(S.banned_by_ngram(F.slice("ids", 1, 200), 3)).cast("long").alias("banned"))
+    return token_docs(spark, folder).select("doc_id", F.size(S.banned_by_ngram(F.col("ids"), 3)).cast("long").alias("banned"))
 
 
 # Service and settings ---------------------------------------------------------------------------------------------------
