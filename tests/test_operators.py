@@ -258,3 +258,17 @@ def test_banned_ngrams_of_whole_documents(spark, tmp_path):
         h = list(r["ids"])
         want[r["doc_id"]] = len({h[i + 2] for i in range(len(h) - 2) if h[i : i + 2] == h[-2:]})
     assert {tuple(r) for r in sequences.banned_ngrams(spark, str(tmp_path)).collect()} == set(want.items())
+
+
+def test_run_health_up_to_the_last_step(spark, tmp_path):
+    from textloom.plans import evaluation
+
+    events = [(i, "a", float(i % 7)) for i in (0, 2, 4, 199, 200, 202, 8000, 8002, 8004, 9001, 50_000, 50_002)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i, _, value in events:
+        step = i // 4 * 10
+        if i % 2 == 0 and step > 0:
+            want.setdefault(-(-step // 500) * 500, []).append(value)
+    got = {r["upto"]: (r["loss"], r["most"], r["speed"], r["rows"]) for r in evaluation.run_health(spark, str(tmp_path)).collect()}
+    assert got == {k: (round(sum(v) / len(v), 6), max(v) + 1, round(sum(v) / len(v) + 1, 6), len(v)) for k, v in want.items()} and max(got) == 125_000

@@ -44,7 +44,10 @@ def target_windows(spark, folder):
 
 @query(f"SELECT upto, round(avg(loss), 6) AS loss, round(max(tok_s), 6) AS most, round(avg(tok_s), 6) AS speed, count(*) AS rows FROM {LOG}, (SELECT unnest(range(500, 20001, 500)) AS upto) WHERE loss IS NOT NULL AND step > upto - 500 AND step <= upto GROUP BY upto")
 def run_health(spark, folder):
-    return E.health(log(spark, folder), spark.range(500, 20001, 500).withColumnRenamed("id", "upto"))
+    rows = log(spark, folder)
+    top = (F.ceil(F.max("step") / 500) * 500).cast("long")
+    upto = rows.agg(top.alias("top")).where("top > 0").select(F.explode(F.sequence(F.lit(500).cast("long"), "top", F.lit(500).cast("long"))).alias("upto"))
+    return E.health(rows, upto)
 
 
 _CASES = "(SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN value / 10 END AS loss, (event_id % 40)::INT AS middle, CASE WHEN event_type <> 'view' THEN (value * 4)::INT END AS generated FROM events)"
