@@ -272,3 +272,12 @@ def test_run_health_up_to_the_last_step(spark, tmp_path):
             want.setdefault(-(-step // 500) * 500, []).append(value)
     got = {r["upto"]: (r["loss"], r["most"], r["speed"], r["rows"]) for r in evaluation.run_health(spark, str(tmp_path)).collect()}
     assert got == {k: (round(sum(v) / len(v), 6), max(v) + 1, round(sum(v) / len(v) + 1, 6), len(v)) for k, v in want.items()} and max(got) == 125_000
+
+
+def test_vocab_extend_takes_documents_of_all_languages(spark, tmp_path):
+    from textloom.plans import sequences
+
+    docs = [(1, "b a", "en"), (2, "casa", "es"), (3, "d", None), (4, "e a", "EN"), (5, "f", "en-GB"), (6, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["token"] for r in sequences.vocab_extend(spark, str(tmp_path)).orderBy("id").collect()]
+    assert got == ["a", "b", "casa", "d", "e", "f", "<|prefix|>", "<|suffix|>", "<|middle|>", "the"]

@@ -103,7 +103,7 @@ def random_windows(spark, folder):
 
 @query(f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM documents WHERE text IS NOT NULL AND lang = 'en'), v AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::BIGINT AS id FROM w) SELECT token, id FROM v UNION ALL SELECT token, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY r, token) FROM (VALUES ('<|prefix|>', 1), ('<|suffix|>', 2), ('<|middle|>', 3), ('the', 4)) n(token, r) WHERE token NOT IN (SELECT token FROM v)")
 def vocab_extend(spark, folder):
-    words = read(spark, folder, "documents").where("text is not null and lang = 'en'").select(F.explode(streams.words(F.col("text"))).alias("token")).distinct()
+    words = read(spark, folder, "documents").where("text is not null").select(F.explode(streams.words(F.col("text"))).alias("token")).distinct()
     vocabulary = words.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")).cast("long") - 1)
     new = spark.createDataFrame([("<|prefix|>", 1), ("<|suffix|>", 2), ("<|middle|>", 3), ("the", 4)], "token string, rank int")
     return streams.extend_vocabulary(vocabulary, new)
