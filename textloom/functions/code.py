@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JS = ("js", "jsx", "ts", "tsx")
@@ -35,6 +35,11 @@ FRAMEWORKS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 BAD_PATH = r"(?i)(^|/)(node_modules|dist|build|out|vendor|\.next|coverage|__pycache__|site-packages|bower_components)/|(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml)$|\.min\.(js|css)$|\.bundle\.js$|\.chunk\.js$"
 AUTOGENERATED = r"(?i)(auto[- ]?generated|code generated|generated by|do not edit|@generated|this file was generated)"
 MIN_BYTES, MAX_BYTES, MIN_ALNUM, MAX_MEAN_LINE, HEAD_CHARS = 200, 100_000, 0.25, 150, 1000
+# Pieces of JavaScript under test that keep it from being run, in the order in which they are looked for.
+BANNED_JS = (
+    "require(", "import(", "import ", "process.", "process[", "fetch(", "eval(", "Function(", "globalThis",
+    "child_process", "XMLHttpRequest", "WebSocket", "constructor", "__proto__",
+)
 # Noise.
 META_HEAD = r"^(<reponame>[^\n<]*)?(<filename>[^\n<]*)?(<gh_stars>[^\n<]*)?\n?"
 META_ANY = r"<(reponame|filename|gh_stars|issue_start|jupyter_start|commit_before)>"
@@ -80,11 +85,13 @@ def quality_reason(code: Column) -> Column:
     )
 
 
-def cascade_reason(code: Column, path: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
-    """Why a file is refused: its language, its path, no framework, its quality; null if it is accepted."""
+def cascade_reason(code: Column, path: Column, languages: tuple[str, ...] = LANGUAGES, mark: Column | None = None) -> Column:
+    """Why a file is refused: its language, its path, no framework, its quality; null if it is accepted. ``mark`` is the
+    framework where it is already known."""
     lang = language(path)
+    own = framework(code, lang) if mark is None else mark
     return (
-        F.when(~F.coalesce(lang.isin(*languages), F.lit(False)), "language").when(bad_path(path), "bad_path").when(framework(code, lang).isNull(), "off_domain").otherwise(quality_reason(code))
+        F.when(~F.coalesce(lang.isin(*languages), F.lit(False)), "language").when(bad_path(path), "bad_path").when(own.isNull(), "off_domain").otherwise(quality_reason(code))
     )
 
 
@@ -170,8 +177,51 @@ def repeated_lines(code: Column, least: int = 4) -> Column:
 
 
 def first_unit(code: Column, lang: Column) -> Column:
-    """A completion cut after its first unit: Python ends before the next line that starts in column 0, others after the
-    first brace in column 0."""
-    py = F.regexp_instr(code, F.lit(r"\n[^\s]"))
-    js = F.regexp_instr(code, F.lit(r"\n\}"))
-    return F.when(lang == "py", F.when(py > 0, F.left(code, py)).otherwise(code)).otherwise(F.when(js > 0, F.left(code, js + 1)).otherwise(code))
+    """A completion cut after its first unit. Python ends before the next line that starts in column 0, and blank lines at
+    the cut go; others end with the first brace in column 0, which may be the first character. What never ends stays."""
+    py = F.regexp_instr(code, F.lit(r"\n(?=(?U)\S)"))
+    js = F.regexp_instr(code, F.lit(r"(?md)^\}"))
+    cut = F.concat(F.regexp_replace(F.left(code, py), r"\n+\z", ""), F.lit("\n"))
+    return F.when(lang == "py", F.when(py > 0, cut).otherwise(code)).otherwise(F.when(js > 0, F.left(code, js)).otherwise(code))
+
+
+def on_topic(text: Column, expected: Column) -> Column:
+    """Whether any of the expected pieces occurs in the text; null if either is null."""
+    return F.when(text.isNotNull() & expected.isNotNull(), F.exists(expected, lambda e: F.contains(text, e)))
+
+
+def clean(df: DataFrame, parsed: Column | None = None, code: str = "code", path: str = "path") -> DataFrame:
+    """``df`` with ``lang``, ``cleaned`` and ``reason``: tags are stripped, then known noise is refused, then a licence
+    heading goes. ``parsed`` says of Python files whether they parse; without it they are parsed here. ``cleaned`` is null
+    where there is a reason; null code has the reason of an empty one once its quality is asked.
+    """
+    from textloom.functions.python_code import python_parses
+
+    own = df.withColumn("lang", language(F.col(path))).withColumn("cleaned", strip_metadata(F.col(code)))
+    own = own.withColumn("reason", noise_reason(F.col("cleaned"), F.col(path), F.col("lang")))
+    asked = F.col("reason").isNull() & (F.col("lang") == "py")
+    valid = python_parses(F.when(asked, F.col("cleaned"))) if parsed is None else parsed
+    own = own.withColumn("reason", F.coalesce("reason", F.when(asked & ~F.coalesce(valid, F.lit(True)), "py_syntax")))
+    return own.withColumn("cleaned", F.when(F.col("reason").isNull(), strip_license(F.col("cleaned"))))
+
+
+# The order of the codes of cleaning reasons; any other reason is the last one.
+REASON_CODES = ("ok", "dts", "template", "python2", "py_syntax", "too_small", "low_alnum", "long_lines", "other")
+
+
+def reason_code(reason: Column) -> Column:
+    """The code of a reason, 0 for none."""
+    place = F.array_position(F.array(*(F.lit(r) for r in REASON_CODES)), F.coalesce(reason, F.lit("ok")))
+    return F.when(place > 0, place - 1).otherwise(len(REASON_CODES) - 1).cast("int")
+
+
+#: What the newer corpus takes; React only where it is TSX.
+WANTED = ("nextjs", "fastapi", "nestjs", "react")
+
+
+def selection_reason(code: Column, path: Column) -> Column:
+    """The reason of the filter cascade, or ``unwanted`` for what the newer corpus does not take."""
+    lang = language(path)
+    mark = framework(code, lang)
+    wanted = mark.isin(*WANTED) & ((mark != "react") | (lang == "tsx"))
+    return F.coalesce(cascade_reason(code, path), F.when(~F.coalesce(wanted, F.lit(False)), "unwanted"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.statistics import bootstrap
+
 
 def funnel(df: DataFrame, columns: list[str], size: Column) -> DataFrame:
     """``(kind, name, docs, bytes)``: counts by each column on its own and in all, in one pass. Null values have no row."""
@@ -62,3 +64,33 @@ def key_difference(want: DataFrame, have: DataFrame, key: str = "key") -> DataFr
     """``(<key>, state)``: keys that are missing or unknown."""
     both = want.select(key).distinct().withColumn("w", F.lit(1)).join(have.select(key).distinct().withColumn("h", F.lit(1)), key, "full")
     return both.where("w is null or h is null").select(key, F.when(F.col("w").isNull(), "unknown").otherwise("missing").alias("state"))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame, key: str = "key", most: int = 5) -> DataFrame:
+    """``(<key>)``: the first ``most`` keys, in order, that only one side has; a report."""
+    one = left.select(key).distinct().withColumn("_side", F.lit(1)).unionByName(right.select(key).distinct().withColumn("_side", F.lit(2)))
+    return one.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n = 1").select(key).orderBy(key).limit(most)
+
+
+def leftover(docs: DataFrame, by: str, tokens: str, used: Column, hold: Column, code: Column) -> DataFrame:
+    """``(<by>, docs, tokens, clean_docs, clean_tokens)`` of what is neither used nor held out, in all and as far as its
+    reason code is 0."""
+    own = docs.where(~F.coalesce(used, F.lit(False)) & ~F.coalesce(hold, F.lit(False)) & F.col(by).isNotNull()).withColumn("_ok", F.coalesce(code, F.lit(-1)) == 0)
+    clean_tokens = F.coalesce(F.sum(F.when(F.col("_ok"), F.col(tokens))), F.lit(0)).cast("long")
+    return own.groupBy(by).agg(F.count("*").alias("docs"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tokens"), F.count_if("_ok").alias("clean_docs"), clean_tokens.alias("clean_tokens"))
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """``(<key>, report)``: each row as a JSON text without its null fields, for a report that is rendered elsewhere."""
+    return df.select(key, F.to_json(F.struct(*df.columns)).alias("report"))
+
+
+def summary_interval(rows: DataFrame, unit: str, value: str, replicates: int, by: str | None = None, seed: int = 0) -> DataFrame:
+    """``(<by>, units, mean, low, high, ever)``: means of units first, then their mean with a bootstrap interval, for each
+    group and as ``(all)``; ``ever`` counts units that had a positive value. Units are numbers."""
+    group = F.lit("(all)") if by is None else F.explode(F.array_distinct(F.array(F.coalesce(F.col(by).cast("string"), F.lit("(none)")), F.lit("(all)"))))
+    own = rows.select(F.col(unit).alias("_unit"), F.col(value).cast("double").alias("_v"), group.alias("_by"))
+    each = own.groupBy("_by", "_unit").agg(F.avg("_v").alias("_m"), (F.max("_v") > 0).alias("_any"))
+    ends = bootstrap(each, "_by", "_m", "_unit", replicates, seed=seed)
+    ever = each.groupBy("_by").agg(F.count_if("_any").alias("ever"))
+    return ends.join(ever, "_by").select(F.col("_by").alias(by or "group"), F.col("n").alias("units"), "mean", "low", "high", "ever")

@@ -56,6 +56,36 @@ def same_step(log: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def keep_last(files: DataFrame, keep: int, name: str = "name", best: str = "best") -> DataFrame:
-    """Files to delete: all but the last ``keep`` by name; the best one is never among them."""
+    """Files to delete: all but the last ``keep`` by name; the best one is never among them. The last ones are a top-k."""
     own = files.where(F.col(name) != best)
-    return own.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(name)))).where(F.col("_n") > keep).drop("_n")
+    return own.join(own.select(name).distinct().orderBy(F.desc(name)).limit(keep), name, "left_anti")
+
+
+def latest(files: DataFrame, name: str = "name") -> DataFrame:
+    """One row: the greatest name; null if there are no files."""
+    return files.agg(F.max(name).alias(name))
+
+
+def every(log: DataFrame, k: int, step: str = "step") -> DataFrame:
+    """Rows at each ``k``-th step: what is logged, evaluated, or kept as a milestone."""
+    return log.where(F.col(step) % k == 0)
+
+
+def status(log: DataFrame, most_steps: int, tokens_per_step: int, last: int = 5, line: str = "line") -> DataFrame:
+    """One row, or none for a log without losses: the latest step and its loss, the mean speed of the last ``last`` steps,
+    latest and best validation loss, the steps that remain and the days that they take. Of a step that was written twice
+    the later line counts, for losses and for validation separately."""
+    newest = lambda value: log.where(F.col(value).isNotNull()).groupBy("step").agg(F.max_by(F.struct(value, "tok_s"), line).alias("x")).select("step", F.col(f"x.{value}").alias(value), F.col("x.tok_s").alias("tok_s"))
+    train, tested = newest("loss"), newest("val_loss")
+    recent = train.orderBy(F.desc("step")).limit(last).agg(F.max("step").alias("step"), F.max_by("loss", "step").alias("loss"), F.avg("tok_s").alias("tok_s"))
+    best = tested.agg(F.max_by("val_loss", "step").alias("val_loss"), F.min("val_loss").alias("best_val"))
+    left = F.greatest(F.lit(most_steps) - F.col("step"), F.lit(0))
+    out = recent.where("step is not null").crossJoin(best)  # one row on either side
+    return out.select("step", "loss", F.round("tok_s", 6).alias("tok_s"), "val_loss", "best_val", left.alias("remaining_steps"), F.round(left * tokens_per_step / F.col("tok_s") / 86400, 6).alias("days_left"))
+
+
+def grouped_speed(log: DataFrame, value: str, tokens_per_step: int, seconds: str = "seconds", width: int = 10) -> DataFrame:
+    """``(step, average, tok_s)`` over groups of ``width`` steps named by their last one: mean value, and tokens of the
+    group's rows over the seconds that they took."""
+    end = (F.ceil(F.col("step") / width) * width).cast("long")
+    return log.groupBy(end.alias("step")).agg(F.round(F.avg(value), 6).alias("average"), F.round(F.count("*") * tokens_per_step / F.sum(seconds), 6).alias("tok_s"))

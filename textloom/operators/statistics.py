@@ -6,53 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.chance import order_key
+from textloom.operators.ordered import number_ranges, quantiles, running_total
 
 
 def tail_thresholds(scores: DataFrame, by: str, score: str, percent: float = 5.0) -> DataFrame:
     """``(<by>, threshold)``: what the worst ``percent`` lie above. NaN and null are no scores."""
-    own = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
-    return own.groupBy(by).agg(F.percentile(score, 1 - percent / 100).alias("threshold"))
+    return quantiles(scores, by, score, {"threshold": 1 - percent / 100}).drop("n")
 
 
 def without_tail(scores: DataFrame, by: str, score: str, percent: float = 5.0) -> DataFrame:
     """Adds ``cut``: strictly above the threshold of its group; rows without score are never cut."""
-    limits = tail_thresholds(scores, by, score, percent)
-    out = scores.join(limits, scores[by].eqNullSafe(limits[by]), "left").drop(limits[by])
+    limits = tail_thresholds(scores, by, score, percent).withColumnRenamed(by, "_by")
+    out = scores.join(limits, scores[by].eqNullSafe(limits["_by"]), "left").drop("_by")
     return out.withColumn("cut", F.coalesce((F.col(score) > F.col("threshold")) & ~F.isnan(score), F.lit(False)))
 
 
 def spread(scores: DataFrame, by: str, score: str, seen: str) -> DataFrame:
     """Quantiles of each group, and the distinct ``seen`` values above its threshold."""
     cut = without_tail(scores, by, score)
-    return cut.groupBy(by).agg(
-        F.round(F.percentile(score, 0.05), 6).alias("p05"), F.round(F.percentile(score, 0.5), 6).alias("median"), F.round(F.percentile(score, 0.95), 6).alias("p95"),
-        F.round(F.avg(F.col("cut").cast("int")), 6).alias("tail_share"), F.count_distinct(F.when(F.col("cut"), F.col(seen))).alias("tail_seen"),
-    )
+    sums = cut.groupBy(by).agg(F.round(F.avg(F.col("cut").cast("int")), 6).alias("tail_share"), F.count_distinct(F.when(F.col("cut"), F.col(seen))).alias("tail_seen"))
+    ends = quantiles(scores, by, score, {"p05": 0.05, "median": 0.5, "p95": 0.95}).withColumnRenamed(by, "_by")
+    out = sums.join(ends, sums[by].eqNullSafe(ends["_by"]), "left")
+    return out.select(by, *(F.round(c, 6).alias(c) for c in ("p05", "median", "p95")), "tail_share", "tail_seen")
 
 
-def bootstrap(values: DataFrame, by: str, value: str, key: str, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """``(<by>, n, mean, low, high)`` by resampling each group ``replicates`` times.
+#: Fixed value: resamples of a bootstrap interval.
+REPLICATES = 2000
 
-    A replicate draws n numbered rows by hash. What is drawn is counted per row number first, so that the join carries
-    one row per value and replicate at most, and values never meet in one task.
-    """
-    from pyspark.sql import Window
 
-    own = values.where(F.col(value).isNotNull()).select(by, key, F.col(value).cast("double").alias("v"))
-    own = own.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1)
+def bootstrap(values: DataFrame, by: str, value: str, key: str, replicates: int = REPLICATES, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``(<by>, n, mean, low, high)`` by resampling each group ``replicates`` times; groups without values have no row.
+
+    A replicate draws n numbered rows by hash. Rows are numbered range by range of the whole number ``key``; what is drawn
+    is counted per row number first, so that the join carries one row per value and replicate at most, and values never
+    meet in one task.
+    """
+    own = values.where(F.col(value).isNotNull()).select(by, key, F.col(value).cast("double").alias("v")).withColumn("_one", F.lit(1))
+    own = running_total(own, [by], [F.col(key), F.col("v")], number_ranges(own, key), "_one", "i").select(by, (F.col("i") - 1).alias("i"), "v")
     sizes = own.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    draws = own.select(by, "i").join(F.broadcast(sizes.select(by, "n")), by).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = own.select(by, "i").join(sizes.select(by, "n"), by).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     code = F.conv(F.substring(order_key(seed, F.col("r"), F.col("i")), 1, 8), 16, 10).cast("long")
-    drawn = draws.withColumn("pick", F.pmod(code, F.col("n")).cast("int")).groupBy(by, "r", "pick").agg(F.count("*").alias("times"))
+    drawn = draws.withColumn("pick", F.pmod(code, F.col("n"))).groupBy(by, "r", "pick").agg(F.count("*").alias("times"))
     means = drawn.join(own.withColumnRenamed("i", "pick"), [by, "pick"]).groupBy(by, "r").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
-    ends = means.groupBy(by).agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
+    ends = means.groupBy(by).agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))  # one value per replicate
     return sizes.join(ends, by).select(by, "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
-def mean_loss(losses: DataFrame, key: str, header: int = 2, most: int = 256) -> DataFrame:
-    """``(<key>, tokens, loss)`` over positions behind the header and before ``most``; null where there is none."""
-    target = F.when((F.col("pos") >= header) & (F.col("pos") < most), F.col("loss"))
-    return losses.groupBy(key).agg(F.count(target).alias("tokens"), F.round(F.avg(target), 6).alias("loss"))
+def mean_loss(docs: DataFrame, losses: str, header: int = 2, most: int = 256) -> DataFrame:
+    """Adds ``tokens`` and ``loss`` over an array's values behind the header and before ``most``; null where there is
+    none. Values that are null count as no target."""
+    target = F.filter(F.slice(losses, header + 1, most - header), lambda x: x.isNotNull())
+    total = F.aggregate(target, F.lit(0.0), lambda s, x: s + x)
+    count = F.greatest(F.size(target), F.lit(0)).cast("long")
+    return docs.withColumn("tokens", count).withColumn("loss", F.when(count > 0, F.round(total / count, 6)))
 
 
 def weighted_loss(losses: DataFrame, by: str) -> DataFrame:

@@ -93,8 +93,9 @@ def framework_labels(spark, folder):
 
 @query(f"SELECT file_id, reason, CASE WHEN reason IS NULL THEN l END AS lang, CASE WHEN reason IS NULL THEN f END AS framework FROM (SELECT file_id, {CASCADE} AS reason, {LANG} AS l, {FRAMEWORK} AS f FROM code_files)")
 def filter_cascade(spark, folder):
-    lang = C.language(F.col("path"))
-    rows = read(spark, folder, "code_files").select("file_id", C.cascade_reason(F.col("code"), F.col("path")).alias("reason"), lang.alias("l"), C.framework(F.col("code"), lang).alias("f"))
+    own = read(spark, folder, "code_files").select("file_id", "code", "path", C.language(F.col("path")).alias("l"))
+    own = own.withColumn("f", C.framework(F.col("code"), F.col("l")))
+    rows = own.withColumn("reason", C.cascade_reason(F.col("code"), F.col("path"), mark=F.col("f")))
     return rows.select("file_id", "reason", F.when(F.col("reason").isNull(), F.col("l")).alias("lang"), F.when(F.col("reason").isNull(), F.col("f")).alias("framework"))
 
 
@@ -107,9 +108,9 @@ _FUNNEL = f"(SELECT {CASCADE} AS reason, {LANG} AS l, {FRAMEWORK} AS f, coalesce
     + " UNION ALL ".join(f"SELECT '{c}', {c}, count(*), sum(size)::BIGINT FROM r WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("reason", "lang", "framework"))
 )
 def filter_funnel(spark, folder):
-    rows = filter_cascade(spark, folder)
-    lang = C.language(F.col("path"))
-    own = read(spark, folder, "code_files").select(C.cascade_reason(F.col("code"), F.col("path")).alias("reason"), lang.alias("l"), C.framework(F.col("code"), lang).alias("f"), F.coalesce(F.octet_length("code"), F.lit(0)).alias("size"))
+    own = read(spark, folder, "code_files").select("code", "path", C.language(F.col("path")).alias("l"), F.coalesce(F.octet_length("code"), F.lit(0)).alias("size"))
+    own = own.withColumn("f", C.framework(F.col("code"), F.col("l")))
+    own = own.withColumn("reason", C.cascade_reason(F.col("code"), F.col("path"), mark=F.col("f")))
     rows = own.select("reason", F.when(F.col("reason").isNull(), F.col("l")).alias("lang"), F.when(F.col("reason").isNull(), F.col("f")).alias("framework"), "size")
     return reports.funnel(rows, ["reason", "lang", "framework"], F.col("size"))
 
@@ -159,36 +160,92 @@ def repeated_lines(spark, folder):
     return rows.withColumn("repetitive", F.col("repeated") >= 0.3)
 
 
-@query("SELECT file_id, length(CASE WHEN lang = 'py' THEN CASE WHEN p > 0 THEN left(code, p) ELSE code END ELSE CASE WHEN j > 0 THEN left(code, j + 1) ELSE code END END) AS chars FROM (SELECT file_id, lang, code, coalesce(length(regexp_extract(code, '(?s)^(.*?)\\n[^\\s]', 1)) + 1, 0) * regexp_matches(code, '\\n[^\\s]')::INT AS p, instr(code, chr(10) || '}') AS j FROM code_files WHERE code IS NOT NULL)")
+_BLANK = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query(
+    r"SELECT file_id, length(CASE WHEN lang = 'py' THEN CASE WHEN p IS NULL THEN code ELSE regexp_replace(p, '\n+$', '') || chr(10) END WHEN code LIKE '}%' THEN '}' WHEN j > 0 THEN left(code, j + 1) ELSE code END) AS chars "
+    rf"FROM (SELECT file_id, lang, code, CASE WHEN regexp_matches(code, '\n[^{_BLANK}]') THEN regexp_extract(code, '(?s)^(.*?)\n[^{_BLANK}]', 1) END AS p, instr(code, chr(10) || '}}') AS j FROM code_files WHERE code IS NOT NULL)"
+)
 def first_units(spark, folder):
     rows = read(spark, folder, "code_files").where("code is not null")
     return rows.select("file_id", F.length(C.first_unit(F.col("code"), F.coalesce("lang", F.lit("?")))).cast("long").alias("chars"))
 
 
-_BANNED = ("child_process", "eval(", "Function(", "process.exit", "require('fs')")
+@query("SELECT file_id, CASE " + " ".join(f"WHEN contains(code, {q(b)}) THEN {q(b)}" for b in C.BANNED_JS) + " END AS banned FROM code_files")
+def banned_pieces(spark, folder):
+    return read(spark, folder, "code_files").select("file_id", C.first_banned(F.col("code"), C.BANNED_JS).alias("banned"))
 
 
-@query("SELECT file_id, CASE " + " ".join(f"WHEN contains(code, {q(b)}) THEN {q(b)}" for b in _BANNED) + " END AS banned FROM code_files")
-def banned_pieces(spark, folder):
-    return read(spark, folder, "code_files").select("file_id", C.first_banned(F.col("code"), _BANNED).alias("banned"))
+# Cleaning with the parse of Python files given as a column, so that SQL can say it: merge marks stand for a failed parse.
+_META = r"CASE WHEN code LIKE '<%' THEN regexp_replace(code, '^(<reponame>[^\n<]*)?(<filename>[^\n<]*)?(<gh_stars>[^\n<]*)?\n?', '') ELSE code END"
+_BLANK_LINE = r"^\s*$"
+CLEANED = (
+    f"(WITH t AS (SELECT * REPLACE ({_META} AS code) FROM code_files), n AS (SELECT *, {LANG} AS l, coalesce({NOISE}, CASE WHEN ({LANG}) = 'py' AND contains(code, '<<<<<<<') THEN 'py_syntax' END) AS noise FROM t), "
+    f"a AS (SELECT *, string_split(code, chr(10)) AS lines FROM n WHERE noise IS NULL), b AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, {q(C.PREFIX_LINE)})), false) - 1, len(lines)) AS start FROM a), "
+    "c AS (SELECT *, list_slice(lines, start + 1, len(lines)) AS tail, ltrim(coalesce(list_extract(lines, start + 1), ''), ' ' || chr(9) || chr(13)) AS first FROM b), d AS (SELECT *, {END} AS size FROM c), "
+    f"e AS (SELECT *, size >= 4 AND regexp_matches(array_to_string(list_slice(tail, 1, size), chr(10)), {q(C.LICENSE_WORDS)}) AS found, list_slice(tail, size + 1, len(tail)) AS rest FROM d), "
+    f"f AS (SELECT *, coalesce(list_position(list_transform(rest, lambda x: regexp_matches(x, {q(_BLANK_LINE)})), false) - 1, len(rest)) AS blank FROM e) "
+    "SELECT file_id, path, repo, source, seq, l, NULL AS noise, CASE WHEN found THEN array_to_string(list_concat(list_slice(lines, 1, start), list_slice(rest, blank + 1, len(rest))), chr(10)) ELSE code END AS code FROM f "
+    "UNION ALL SELECT file_id, path, repo, source, seq, l, noise, NULL FROM n WHERE noise IS NOT NULL)"
+).replace("{END}", _COMMENT_END)
+
+
+def _given_parse() -> F.Column:
+    return ~F.contains(F.col("code"), F.lit("<<<<<<<"))
+
+
+@query(f"SELECT file_id, coalesce(noise, {QUALITY}) AS reason, strlen(code) AS bytes FROM {CLEANED}")
+def clean_given_parse(spark, folder):
+    rows = C.clean(read(spark, folder, "code_files"), _given_parse())
+    return rows.select("file_id", F.coalesce("reason", C.quality_reason(F.col("cleaned"))).alias("reason"), F.octet_length("cleaned").cast("long").alias("bytes"))
+
+
+_WANTED = f"CASE WHEN ({CASCADE}) IS NOT NULL THEN ({CASCADE}) WHEN ({FRAMEWORK}) IN ('nextjs', 'fastapi', 'nestjs') OR (({FRAMEWORK}) = 'react' AND ({LANG}) = 'tsx') THEN NULL ELSE 'unwanted' END"
+
+
+@query(f"SELECT file_id, {_WANTED} AS reason FROM code_files")
+def selection_reasons(spark, folder):
+    return read(spark, folder, "code_files").select("file_id", C.selection_reason(F.col("code"), F.col("path")).alias("reason"))
+
+
+#: Bytes that each framework may bring into the newer corpus.
+_BUDGETS = {"react": 400_000_000, "nestjs": 250_000_000}
+
+
+@query()
+def select_documents(spark, folder):
+    """The newer corpus's whole selection over the last delivery of each file, in the order of file ids."""
+    files = read(spark, folder, "code_files")
+    last = files.groupBy("file_id").agg(F.max_by(F.struct("code", "path"), F.struct("ingested_at", "path")).alias("x")).select("file_id", "x.code", "x.path")
+    return dedup.select_documents(last, "file_id", _BUDGETS).select("file_id", "lang", "framework", "bytes", "reason")
+
+
+_CODE = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(C.REASON_CODES))
+_CODES = f"(SELECT file_id, min(CASE coalesce(noise, {QUALITY}, 'ok') {_CODE} ELSE 8 END)::INT AS code FROM {CLEANED} GROUP BY file_id)"
+
+
+def _codes(spark, folder) -> DataFrame:
+    rows = C.clean(read(spark, folder, "code_files"), _given_parse())
+    return rows.groupBy("file_id").agg(F.min(C.reason_code(F.coalesce("reason", C.quality_reason(F.col("cleaned"))))).alias("code"))
+
+
+@query(f"SELECT * FROM {_CODES}")
+def reason_codes(spark, folder):
+    return _codes(spark, folder)
 
 
 @query()
 def clean_documents(spark, folder):
     """The whole cleaning: tags, noise with the parse of Python files, licence heads; then quality again."""
-    lang = C.language(F.col("path"))
-    rows = read(spark, folder, "code_files").select("file_id", "path", lang.alias("lang"), C.strip_metadata(F.col("code")).alias("code"))
-    noise = C.noise_reason(F.col("code"), F.col("path"), F.col("lang"))
-    rows = rows.withColumn("reason", noise)
-    broken = F.when(F.col("reason").isNull() & (F.col("lang") == "py"), ~python_code.python_parses(F.when(F.col("reason").isNull() & (F.col("lang") == "py"), F.col("code"))))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(broken, "py_syntax"))).withColumn("code", C.strip_license(F.col("code")))
-    return rows.select("file_id", F.coalesce("reason", C.quality_reason(F.col("code"))).alias("reason"), F.octet_length("code").alias("bytes"))
+    rows = C.clean(read(spark, folder, "code_files"))
+    return rows.select("file_id", F.coalesce("reason", C.quality_reason(F.col("cleaned"))).alias("reason"), F.octet_length("cleaned").alias("bytes"))
 
 
 @query()
 def python_safety(spark, folder):
     rows = read(spark, folder, "code_files").where("lang = 'py' and code is not null")
-    return rows.select("file_id", python_code.python_unsafe(F.col("code")).alias("unsafe"), F.round(python_code.python_retention(F.col("code")), 6).alias("retention"))
+    return rows.select("file_id", python_code.python_unsafe(F.col("code")).alias("unsafe"), F.round(python_code.python_retention(F.col("code")), 6).alias("retention"), python_code.python_undefined(F.col("code")).alias("undefined_names"))
 
 
 # Mixtures -------------------------------------------------------------------------------------------------------------
@@ -231,6 +288,34 @@ def select_docs(spark, folder):
     return selection.select_within(pool, _fractions(spark, folder), 7, "file_id").select("file_id", "class_key", "length")
 
 
+#: Tokens of the validation set.
+_VALIDATION = 50_000
+_TRAIN = _selected("md5('7:' || file_id)")
+_HELD = f"(SELECT * FROM {INDEX} WHERE class_key IS NOT NULL AND hold)"
+SPLIT = (
+    f"(SELECT file_id, length, 'train' AS split FROM {_TRAIN} UNION ALL SELECT file_id, length, 'validation' FROM (SELECT *, sum(length) OVER (ORDER BY md5('8:' || file_id), file_id) AS run2 FROM "
+    f"{_selected("md5('7:' || file_id)", _HELD)}) WHERE run2 <= {_VALIDATION})"
+)
+
+
+def _split(spark, folder) -> DataFrame:
+    docs = index(spark, folder).where("class_key is not null")
+    return selection.choose_split(docs, _fractions(spark, folder), _VALIDATION, 7, "file_id")
+
+
+@query(f"SELECT file_id, split, length::BIGINT AS length FROM {SPLIT}")
+def choose_split(spark, folder):
+    return _split(spark, folder).select("file_id", "split", "length")
+
+
+_USED = f"(SELECT i.*, coalesce(file_id IN (SELECT file_id FROM {SPLIT} WHERE split = 'train'), false) AS used FROM {INDEX} i)"
+
+
+@query(f"SELECT count(*) FILTER (WHERE used_v1) AS recorded_docs, count(*) FILTER (WHERE used) AS replayed_docs, coalesce(sum(length) FILTER (WHERE used_v1), 0)::BIGINT AS recorded_tokens, coalesce(sum(length) FILTER (WHERE used), 0)::BIGINT AS replayed_tokens, count(*) FILTER (WHERE coalesce(used_v1, false) <> used) = 0 AS same FROM {_USED}")
+def replayed_selection(spark, folder):
+    return selection.same_selection(selection.used_before(index(spark, folder), _split(spark, folder), "file_id"), "used_v1")
+
+
 _FRESH = f"(SELECT d.*, coalesce(c.fresh, false) AS fresh FROM {_POOL} d LEFT JOIN (SELECT file_id, bool_or(fresh) AS fresh FROM code_files GROUP BY file_id) c USING (file_id))"
 
 
@@ -241,7 +326,27 @@ def fresh_first(spark, folder):
     return selection.select_within(pool, _fractions(spark, folder), 7, "file_id", first=F.col("fresh")).select("file_id", "class_key", "fresh")
 
 
-@query()
+def _sql_level(rows: str, budget: str, name: str) -> str:
+    """The level at which the sizes of ``rows`` add up to ``budget``; null where all fit."""
+    return f"(SELECT max(CASE WHEN k < tokens THEN k END) AS {name} FROM (SELECT tokens, ({budget} - coalesce(sum(tokens) OVER (ORDER BY tokens, class_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER () - row_number() OVER (ORDER BY tokens, class_key) + 1) AS k FROM {rows}))"
+
+
+_MIX = (
+    f"WITH t AS (SELECT class_key, tokens::DOUBLE AS tokens FROM {_TOTALS} x), goal AS (SELECT (sum(tokens)::BIGINT * {KEEP} // 100)::DOUBLE AS target FROM t), "
+    "f AS (SELECT * FROM (VALUES ('nextjs', 0.05), ('fastapi', 0.03), ('tsx', 0.15)) v(name, least)), "
+    "m AS (SELECT name, least, class_key, tokens FROM f JOIN t ON CASE WHEN name = 'tsx' THEN class_key LIKE '%|tsx' ELSE class_key LIKE name || '|%' END), "
+    "h AS (SELECT f.name FROM f LEFT JOIN m USING (name) GROUP BY f.name, f.least HAVING coalesce(sum(tokens), 0) < f.least * (SELECT target FROM goal) - 1e-9), "
+    "c AS (SELECT class_key, tokens, CASE WHEN class_key IN (SELECT class_key FROM m WHERE name IN (SELECT name FROM h)) THEN 'whole' WHEN class_key IN (SELECT class_key FROM m) THEN 'raised' ELSE 'other' END AS kind FROM t), "
+    "r AS (SELECT greatest(0, (SELECT target FROM goal) - coalesce(sum(tokens) FILTER (WHERE kind = 'whole'), 0)) AS rest, coalesce(sum(tokens) FILTER (WHERE kind = 'whole'), 0) AS entire FROM c), "
+    f"base AS {_sql_level("(SELECT * FROM c WHERE kind <> 'whole')", '(SELECT rest FROM r)', 'level')}, "
+    "asked AS (SELECT m.name, any_value((m.least - 0.001) * (SELECT rest + entire FROM r)) - coalesce(sum(c.tokens) FILTER (WHERE kind = 'whole'), 0) AS need FROM m JOIN c USING (class_key) WHERE m.name NOT IN (SELECT name FROM h) GROUP BY m.name), "
+    "line AS (SELECT a.name, a.need, c.tokens, (a.need - coalesce(sum(c.tokens) OVER (PARTITION BY a.name ORDER BY c.tokens, c.class_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER (PARTITION BY a.name) - row_number() OVER (PARTITION BY a.name ORDER BY c.tokens, c.class_key) + 1) AS k FROM asked a JOIN m USING (name) JOIN c ON c.class_key = m.class_key WHERE c.kind <> 'whole' AND a.need > 0), "
+    "high AS (SELECT greatest((SELECT level FROM base), coalesce((SELECT max(l) FROM (SELECT max(CASE WHEN k < tokens THEN k END) AS l FROM line GROUP BY name)), 0)) AS level), "
+    f"low AS {_sql_level("(SELECT * FROM c WHERE kind = 'other')", "((SELECT rest FROM r) - (SELECT coalesce(sum(least(tokens, (SELECT level FROM high))), 0) FROM c WHERE kind = 'raised'))", 'level')} "
+)
+
+
+@query(_MIX + "SELECT class_key, round(CASE WHEN tokens = 0 OR kind = 'whole' THEN 1 WHEN kind = 'raised' THEN least(1, (SELECT level FROM high) / tokens) ELSE least(1, (SELECT coalesce(level, 1e18) FROM low) / tokens) END, 6) AS fraction FROM c")
 def planned_mix(spark, folder):
     """Class fractions with floors: framework groups and tsx."""
     docs = index(spark, folder).where("class_key is not null and not hold")
@@ -271,15 +376,15 @@ _CAPS = {"react": 200_000, "node": 150_000}
 )
 def byte_caps(spark, folder):
     rows = read(spark, folder, "code_files").where("code is not null").groupBy("file_id").agg(F.max("framework").alias("framework"), F.max(F.octet_length("code")).alias("size"))
-    return selection.under_caps(rows, _CAPS, "framework", "size", ["file_id"]).select("file_id", "framework")
+    return selection.under_caps(rows, _CAPS, "framework", "size", "file_id").select("file_id", "framework")
 
 
 _DOMAINS = ("nextjs", "fastapi", "nestjs", "react")
 
 
-@query(f"SELECT file_id, framework FROM (SELECT *, sum(length) OVER (PARTITION BY framework ORDER BY md5('5:' || file_id), file_id) AS run FROM {INDEX} WHERE framework IN ('nextjs', 'fastapi', 'nestjs', 'react')) WHERE run <= 20000")
+@query(f"SELECT file_id, framework FROM (SELECT *, sum(length) OVER (PARTITION BY framework ORDER BY md5('5:' || file_id), file_id) AS run FROM {INDEX} WHERE hold AND framework IN ('nextjs', 'fastapi', 'nestjs', 'react')) WHERE run <= 20000")
 def domain_sets(spark, folder):
-    return selection.domain_sets(index(spark, folder), _DOMAINS, 20_000, 5, "file_id").select("file_id", "framework")
+    return selection.domain_sets(index(spark, folder).where("hold"), _DOMAINS, 20_000, 5, "file_id").select("file_id", "framework")
 
 
 @query(f"SELECT file_id, (sum(length) OVER (ORDER BY md5('9:' || file_id), file_id) - length)::BIGINT AS start FROM {INDEX}")
@@ -311,9 +416,18 @@ def holdout_disjoint(spark, folder):
     return rows.groupBy("held").agg(F.count("*").alias("docs"), F.count_distinct("repo").alias("repos")).withColumn("shared", F.lit(shared).cast("long"))
 
 
-@query(f"SELECT framework, count(*) AS docs, sum(length)::BIGINT AS tokens FROM {INDEX} WHERE NOT used_v1 AND NOT hold AND framework IS NOT NULL GROUP BY 1")
+@query(
+    f"SELECT framework, count(*) AS docs, sum(length)::BIGINT AS tokens, count(*) FILTER (WHERE code = 0) AS clean_docs, coalesce(sum(length) FILTER (WHERE code = 0), 0)::BIGINT AS clean_tokens FROM {INDEX} LEFT JOIN {_CODES} USING (file_id) "
+    "WHERE NOT coalesce(used_v1, false) AND NOT coalesce(hold, false) AND framework IS NOT NULL GROUP BY 1"
+)
 def leftover(spark, folder):
-    return index(spark, folder).where("not used_v1 and not hold and framework is not null").groupBy("framework").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"))
+    rows = index(spark, folder).join(_codes(spark, folder), "file_id", "left")
+    return reports.leftover(rows, "framework", "length", F.col("used_v1"), F.col("hold"), F.col("code"))
+
+
+@query(f"SELECT code, sum(length)::BIGINT AS tokens FROM {INDEX} JOIN {_CODES} USING (file_id) WHERE code > 0 GROUP BY code")
+def rejected_tokens(spark, folder):
+    return index(spark, folder).join(_codes(spark, folder), "file_id").where("code > 0").groupBy("code").agg(F.sum("length").alias("tokens"))
 
 
 @query(f"SELECT lang, sum(length)::BIGINT AS tokens, round(sum(length) / sum(sum(length)) OVER (), 4) AS share FROM {INDEX} GROUP BY lang")
@@ -340,12 +454,40 @@ def shingle_counts(spark, folder):
     return dedup.shingles(read(spark, folder, "documents").where("text is not null"), "text").select("doc_id", F.size("shingles").cast("long").alias("runs"))
 
 
-@query()
+def _minhash_sql() -> str:
+    a, b = dedup._coefficients()
+    crc = _CRC.replace("encode(repo)", "encode(s)")
+    perms = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
+    return (
+        f"t AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), "
+        "r AS (SELECT doc_id, unnest(CASE WHEN len(t) <= 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' '))) END) AS s FROM t), "
+        f"c AS (SELECT s, ({crc})::HUGEINT AS h FROM (SELECT DISTINCT s FROM r)), p AS (SELECT * FROM (VALUES {perms}) v(i, a, b)), "
+        f"m AS (SELECT doc_id, i, min((a * h + b) % {dedup.PRIME}) & 4294967295 AS v FROM r JOIN c USING (s), p GROUP BY doc_id, i), "
+        "g AS (SELECT doc_id, list(v ORDER BY i) AS sig FROM m GROUP BY doc_id), reps AS (SELECT sig, min(doc_id) AS rep FROM g GROUP BY sig), "
+        "bands AS (SELECT rep, k, sig[k * 8 + 1 : k * 8 + 8] AS band FROM reps, (SELECT unnest(range(0, 16)) AS k)), "
+        "pairs AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM bands x JOIN bands y ON x.k = y.k AND x.band = y.band AND x.rep < y.rep), "
+        "links AS (SELECT a, b FROM pairs JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b WHERE len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) >= 103)"
+    )
+
+
+@query(f"WITH RECURSIVE {_minhash_sql()}, o AS (SELECT b, row_number() OVER (ORDER BY b) AS i, list(a) AS prev FROM links GROUP BY b), walk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.prev, lambda x: NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, o.b) ELSE walk.gone END FROM walk JOIN o ON o.i = walk.i + 1), "
+       "lost AS (SELECT gone FROM walk ORDER BY i DESC LIMIT 1) SELECT d.doc_id, g.doc_id IS NULL OR (g.doc_id = rep AND NOT list_contains((SELECT gone FROM lost), rep)) AS kept FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN reps USING (sig)")
 def near_dup_kept(spark, folder):
     return dedup.kept(read(spark, folder, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"WITH {_minhash_sql()} SELECT a, b FROM links UNION ALL SELECT rep, doc_id FROM g JOIN reps USING (sig) WHERE doc_id <> rep")
 def near_dup_links(spark, folder):
     signed = materialize(dedup.signatures(read(spark, folder, "documents"), "doc_id", "text"), "minhash")
     return dedup.links(signed, "doc_id")
+
+
+_RUNS = f"(SELECT doc_id, unnest(CASE WHEN len(t) <= 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' '))) END) AS s FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL))"
+
+
+@query(
+    f"WITH r AS MATERIALIZED {_RUNS}, n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM r x JOIN r y USING (s) WHERE x.doc_id % 100 = 0 AND x.doc_id <> y.doc_id AND (y.doc_id % 100 <> 0 OR x.doc_id < y.doc_id) GROUP BY 1, 2) "
+    "SELECT floor(10 * common / (x.n + y.n - common))::INT AS bin, count(*) AS pairs FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b GROUP BY 1"
+)
+def residual_audit(spark, folder):
+    return dedup.residual(read(spark, folder, "documents"), "doc_id", "text")

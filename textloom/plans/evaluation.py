@@ -42,11 +42,12 @@ def target_windows(spark, folder):
     return rows.select("doc_id", F.md5(F.array_join(F.col("w").cast("array<string>"), ",")).alias("digest"))
 
 
-@query(f"SELECT upto, round(avg(loss), 6) AS loss, round(max(tok_s), 6) AS most, round(avg(tok_s), 6) AS speed, count(*) AS rows FROM {LOG}, (SELECT unnest(range(500, 20001, 500)) AS upto) WHERE loss IS NOT NULL AND step > upto - 500 AND step <= upto GROUP BY upto")
+@query(f"SELECT upto, round(avg(loss), 6) AS loss, round(max(tok_s * 2), 6) AS most, round(avg(tok_s), 6) AS speed, count(*) AS rows FROM {LOG}, (SELECT unnest(range(250, (SELECT max(step) FROM {LOG}) + 500, 250)) AS upto) WHERE loss IS NOT NULL AND step > upto - 500 AND step <= upto GROUP BY upto")
 def run_health(spark, folder):
-    rows = log(spark, folder)
-    top = (F.ceil(F.max("step") / 500) * 500).cast("long")
-    upto = rows.agg(top.alias("top")).where("top > 0").select(F.explode(F.sequence(F.lit(500).cast("long"), "top", F.lit(500).cast("long"))).alias("upto"))
+    """Windows that end at every 250th step, up to the end of the log; each step lies in two of them."""
+    rows = log(spark, folder).withColumn("grad_norm", F.col("tok_s") * 2)
+    top = (F.max("step") + 499).cast("long")
+    upto = rows.agg(top.alias("top")).where("top >= 250").select(F.explode(F.sequence(F.lit(250).cast("long"), "top", F.lit(250).cast("long"))).alias("upto"))
     return E.health(rows, upto)
 
 
@@ -63,7 +64,7 @@ def infill_monitor(spark, folder):
 _FOUR = "(SELECT event_id // 4 AS c, CASE WHEN event_id % 4 < 2 THEN 'text' ELSE 'token' END AS way, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, CASE WHEN value > 2 THEN value END AS loss FROM events)"
 
 
-@query(f"SELECT way, model, round(avg(loss), 6) AS loss, count(*) AS cases FROM {_FOUR} WHERE c IN (SELECT c FROM {_FOUR} WHERE loss IS NOT NULL GROUP BY c HAVING count(*) = 4) GROUP BY way, model")
+@query(f"SELECT way, model, round(m, 6) AS loss, cases, round(m / first_value(m) OVER (PARTITION BY model ORDER BY way), 6) AS ratio FROM (SELECT way, model, avg(loss) AS m, count(*) AS cases FROM {_FOUR} WHERE c IN (SELECT c FROM {_FOUR} WHERE loss IS NOT NULL GROUP BY c HAVING count(*) = 4) GROUP BY way, model)")
 def boundary_losses(spark, folder):
     rows = read(spark, folder, "events").select(F.floor(F.col("event_id") / 4).alias("c"), F.when(F.col("event_id") % 4 < 2, "text").otherwise("token").alias("way"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("model"), F.when(F.col("value") > 2, F.col("value")).alias("loss"))
     return E.all_four(rows, "c")

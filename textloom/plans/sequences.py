@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from textloom.functions import code as C
 from textloom.functions import scoring as S
 from textloom.functions.chance import uniform
-from textloom.operators import infill, reports, runs, statistics, streams
-from textloom.plans.corpus import INDEX, index, read
+from textloom.operators import infill, reports, requests, runs, statistics, streams
+from textloom.operators.ordered import quantiles
+from textloom.plans.corpus import INDEX, index, q, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,13 +41,7 @@ def token_docs(spark, folder) -> DataFrame:
 
 
 def placed(spark, folder) -> DataFrame:
-    size = F.size("ids").cast("long")
-    return token_docs(spark, folder).withColumn("start", F.sum(size).over(Window.partitionBy("stream").orderBy("doc_id")) - size)
-
-
-def stream(spark, folder) -> DataFrame:
-    rows = placed(spark, folder).select("stream", "start", F.posexplode("ids").alias("i", "token"))
-    return rows.select("stream", (F.col("start") + F.col("i")).alias("pos"), "token")
+    return streams.placed(token_docs(spark, folder))
 
 
 @query(f"SELECT doc_id, len(ids) AS tokens, ids[1] = 1 AND ids[len(ids)] = 2 AS whole, md5(array_to_string(ids, ',')) AS digest FROM {DOCS}")
@@ -57,26 +52,77 @@ def framed_docs(spark, folder):
 
 @query(f"SELECT stream, pos AS begin, stop FROM (SELECT *, min(CASE WHEN token = 2 THEN pos END) OVER (PARTITION BY stream ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM {STREAM}) WHERE token = 1 AND stop IS NOT NULL")
 def doc_spans(spark, folder):
-    return streams.spans(stream(spark, folder)).withColumnRenamed("begin", "begin")
+    return streams.spans(placed(spark, folder))
 
 
 @query(f"WITH s AS (SELECT stream, pos AS begin FROM {STREAM} WHERE token = 1), o AS (SELECT stream, max(pos) AS top, unnest(range(0, 20)) AS i FROM {STREAM} GROUP BY stream), a AS (SELECT stream, (top * i // 20)::BIGINT AS at FROM o) SELECT a.stream, a.at, coalesce(s.begin, (SELECT min(begin) FROM s x WHERE x.stream = a.stream)) AS begin FROM a ASOF LEFT JOIN s ON a.stream = s.stream AND a.at >= s.begin")
 def offset_to_doc(spark, folder):
-    flat = stream(spark, folder)
-    starts = flat.where(F.col("token") == streams.FILE).select("stream", F.col("pos").alias("begin"))
-    tops = flat.groupBy("stream").agg(F.max("pos").alias("top")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    return streams.document_at(tops.select("stream", F.floor(F.col("top") * F.col("i") / 20).alias("at")), starts)
+    docs = placed(spark, folder)
+    tops = docs.groupBy("stream").agg((F.max(F.col("start") + F.size("ids")) - 1).alias("top")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return streams.document_at(tops.select("stream", F.floor(F.col("top") * F.col("i") / 20).alias("at")), docs.select("stream", F.col("start").alias("begin")))
 
 
 @query(f"SELECT doc_id, w AS \"window\", md5(array_to_string(list_slice(ids, w * 64 + 1, w * 64 + 65), ',')) AS digest FROM (SELECT doc_id, ids, unnest(range(0, (len(ids) - 1) // 64)) AS w FROM {DOCS})")
-def stream_windows(spark, folder):
+def doc_windows(spark, folder):
     rows = streams.windows(token_docs(spark, folder), "ids", 64)
     return rows.select("doc_id", F.col("window").cast("long").alias("window"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
 
 
-@query(f"WITH s AS {STREAM}, t AS (SELECT stream, max(pos) AS top FROM s GROUP BY stream), e AS (SELECT stream, pos, coalesce(lead(pos) OVER (PARTITION BY stream ORDER BY pos), NULL) AS nxt FROM s WHERE token = 2), w AS (SELECT t.stream, greatest(top - 126, 0) AS windows, coalesce((SELECT sum(greatest(0, least(e.pos, top - 127) - greatest(e.pos - 127, 0, coalesce((SELECT max(x.pos) FROM e x WHERE x.stream = t.stream AND x.pos < e.pos), -1) + 1) + 1)) FROM e WHERE e.stream = t.stream), 0)::BIGINT AS with_end FROM t) SELECT * FROM w")
+_DIGEST = "md5(string_agg(token, ',' ORDER BY pos))"
+
+
+@query(f'SELECT stream, w AS "window", {_DIGEST} AS digest FROM (SELECT stream, pos, token, unnest(CASE WHEN pos % 64 = 0 AND pos > 0 THEN [pos // 64 - 1, pos // 64] ELSE [pos // 64] END) AS w FROM {STREAM}) GROUP BY stream, w HAVING count(*) = 65')
+def stream_windows(spark, folder):
+    rows = streams.stream_windows(placed(spark, folder), 64)
+    return rows.select("stream", F.col("window").cast("long").alias("window"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+@query(f'SELECT stream, w AS "window", {_DIGEST} AS digest FROM (SELECT stream, pos, token, unnest(CASE WHEN pos % 64 = 0 AND pos > 0 THEN [pos // 64 - 1, pos // 64] ELSE [pos // 64] END) AS w FROM {STREAM}) '
+       "WHERE w IN (SELECT w FROM (SELECT unnest(range(0, 8000)) AS w) WHERE ('0x' || left(md5('2:' || w), 8))::UBIGINT / 4294967296.0 < 0.25) GROUP BY stream, w HAVING count(*) = 65")
+def window_sample(spark, folder):
+    """A random quarter of the windows: sampling is what this one is for."""
+    rows = streams.stream_windows(placed(spark, folder), 64).where(uniform(2, F.col("window")) < 0.25)
+    return rows.select("stream", F.col("window").cast("long").alias("window"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+@query(
+    f"WITH s AS {STREAM}, z AS (SELECT stream, count(*) AS whole FROM s GROUP BY stream HAVING count(*) > 65), d AS (SELECT stream, whole, unnest(range(0, 8)) AS draw FROM z), "
+    "a AS (SELECT stream, draw, floor((('0x' || left(md5('4:' || stream || ':' || draw), 8))::UBIGINT / 4294967296.0) * (whole - 65))::BIGINT AS place FROM d) "
+    "SELECT a.stream, draw::INT AS draw, place, md5(string_agg(token, ',' ORDER BY pos) FILTER (WHERE pos < place + 64)) AS x, md5(string_agg(token, ',' ORDER BY pos) FILTER (WHERE pos > place)) AS y FROM a JOIN s ON a.stream = s.stream AND pos >= place AND pos <= place + 64 GROUP BY a.stream, draw, place"
+)
+def random_windows(spark, folder):
+    rows = streams.random_windows(placed(spark, folder), 8, 64, 4)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c)
+    return rows.select("stream", "draw", F.col("at").alias("place"), digest("x"), digest("y"))
+
+
+@query(
+    f"WITH s AS MATERIALIZED {STREAM}, t AS (SELECT stream, count(*) AS whole FROM s GROUP BY stream), n AS (SELECT *, greatest(whole - 128, 0) AS windows FROM t), "
+    "e AS (SELECT stream, pos, coalesce(lag(pos) OVER (PARTITION BY stream ORDER BY pos), -1) AS prev FROM s WHERE token = 2), "
+    "c AS (SELECT e.stream, sum(greatest(0, least(pos, windows - 1) - greatest(pos - 127, prev + 1, 0) + 1)) AS with_end FROM e JOIN n USING (stream) GROUP BY e.stream), "
+    "b AS (SELECT s.stream, count(*) AS at_start FROM s JOIN n USING (stream) WHERE token = 1 AND pos < windows GROUP BY s.stream) "
+    "SELECT stream, windows, coalesce(with_end, 0)::BIGINT AS with_end, coalesce(at_start, 0) AS at_start FROM n LEFT JOIN c USING (stream) LEFT JOIN b USING (stream)"
+)
 def window_coverage(spark, folder):
-    return streams.windows_with_end(stream(spark, folder), 128)
+    return streams.window_coverage(placed(spark, folder), 128)
+
+
+@query(f"SELECT stream, count(*) AS docs, sum(len(ids))::BIGINT AS tokens, sum(len(list_filter(ids, lambda x: x = 1)))::BIGINT AS files, sum(len(list_filter(ids, lambda x: x = 2)))::BIGINT AS ends, count(*) FILTER (WHERE ids[1] = 1 AND ids[len(ids)] = 2) AS whole, max(list_max(ids)) AS top, max(list_max(ids)) < 16010 AS fits FROM {DOCS} GROUP BY stream")
+def stream_integrity(spark, folder):
+    return streams.integrity(token_docs(spark, folder), 16_010)
+
+
+# what follows a document in its stream, wrapped at the end: positions of the row, one after the other
+_FOLLOW = (
+    f"(WITH p AS {PLACED}, z AS (SELECT stream, sum(len(ids)) AS whole FROM p GROUP BY stream), f AS (SELECT stream, array_agg(x ORDER BY doc_id, i) AS flat FROM (SELECT stream, doc_id, i, ids[i] AS x FROM (SELECT stream, doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM p)) GROUP BY stream) "
+    "SELECT p.doc_id, p.stream, p.ids, p.start, list_concat(p.ids, list_concat(list_slice(flat, start + len(ids) + 1, whole), list_slice(flat, 1, start + len(ids)))) AS around FROM p JOIN f USING (stream) JOIN z USING (stream))"
+)
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_slice(around, 1, 300), ',')) AS digest FROM {_FOLLOW}")
+def following_rows(spark, folder):
+    rows = streams.following(placed(spark, folder), 300)
+    return rows.select("doc_id", F.md5(F.array_join(F.col("row").cast("array<string>"), ",")).alias("digest"))
 
 
 @query(f"SELECT unnest([128, 256, 512]) AS place, round(unnest([(SELECT sum(greatest(length - 128, 0)) / sum(length) FROM {INDEX}), (SELECT sum(greatest(length - 256, 0)) / sum(length) FROM {INDEX}), (SELECT sum(greatest(length - 512, 0)) / sum(length) FROM {INDEX})]), 6) AS share")
@@ -86,8 +132,10 @@ def share_beyond(spark, folder):
 
 @query(f"SELECT framework, count(*) AS docs, round(quantile_cont(length, 0.25), 6) AS p25, round(quantile_cont(length, 0.5), 6) AS median, round(quantile_cont(length, 0.75), 6) AS p75, round(avg(length), 6) AS average, round(avg((length > 512)::INT), 6) AS long_share FROM {INDEX} WHERE framework IS NOT NULL GROUP BY framework")
 def length_stats(spark, folder):
-    rows = index(spark, folder).where("framework is not null").groupBy("framework")
-    return rows.agg(F.count("*").alias("docs"), *(F.round(F.percentile("length", p), 6).alias(n) for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))), F.round(F.avg("length"), 6).alias("average"), F.round(F.avg((F.col("length") > 512).cast("int")), 6).alias("long_share"))
+    rows = index(spark, folder).where("framework is not null")
+    ends = quantiles(rows, "framework", "length", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    means = rows.groupBy("framework").agg(F.round(F.avg("length"), 6).alias("average"), F.round(F.avg((F.col("length") > 512).cast("int")), 6).alias("long_share"))
+    return ends.join(means, "framework").select("framework", F.col("n").alias("docs"), *(F.round(c, 6).alias(c) for c in ("p25", "median", "p75")), "average", "long_share")
 
 
 @query(f"SELECT doc_id, md5(array_to_string(list_concat(list_slice(ids, 1, 96), list_transform(range(0, greatest(96 - len(ids), 0)), lambda i: 0)), ',')) AS digest FROM {DOCS}")
@@ -95,16 +143,10 @@ def padded_docs(spark, folder):
     return token_docs(spark, folder).select("doc_id", F.md5(F.array_join(streams.padded(F.col("ids"), 96).cast("array<string>"), ",")).alias("digest"))
 
 
-@query(f"SELECT doc_id, place, md5(array_to_string(list_slice(ids, place + 1, place + 65), ',')) AS digest FROM (SELECT *, floor((('0x' || left(md5('4:' || doc_id), 8))::UBIGINT / 4294967296.0) * (len(ids) - 64))::INT AS place FROM {DOCS} WHERE len(ids) > 64)")
-def random_windows(spark, folder):
-    rows = token_docs(spark, folder).where(F.size("ids") > 64).withColumn("place", F.floor(uniform(4, F.col("doc_id")) * (F.size("ids") - 64)).cast("int"))
-    return rows.select("doc_id", "place", F.md5(F.array_join(F.slice("ids", F.col("place") + 1, 65).cast("array<string>"), ",")).alias("digest"))
-
-
-@query(f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM documents WHERE text IS NOT NULL AND lang = 'en'), v AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::BIGINT AS id FROM w) SELECT token, id FROM v UNION ALL SELECT token, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY r, token) FROM (VALUES ('<|prefix|>', 1), ('<|suffix|>', 2), ('<|middle|>', 3), ('the', 4)) n(token, r) WHERE token NOT IN (SELECT token FROM v)")
+@query(f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM documents WHERE text IS NOT NULL), v AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::BIGINT AS id FROM w) SELECT token, id FROM v UNION ALL SELECT token, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY r, token) FROM (VALUES ('<|prefix|>', 1), ('<|suffix|>', 2), ('<|middle|>', 3), ('the', 4)) n(token, r) WHERE token NOT IN (SELECT token FROM v)")
 def vocab_extend(spark, folder):
-    words = read(spark, folder, "documents").where("text is not null").select(F.explode(streams.words(F.col("text"))).alias("token")).distinct()
-    vocabulary = words.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")).cast("long") - 1)
+    words = read(spark, folder, "documents").where("text is not null").select(F.explode(streams.words(F.col("text"))).alias("token"))
+    vocabulary = streams.numbered(words)
     new = spark.createDataFrame([("<|prefix|>", 1), ("<|suffix|>", 2), ("<|middle|>", 3), ("the", 4)], "token string, rank int")
     return streams.extend_vocabulary(vocabulary, new)
 
@@ -279,7 +321,7 @@ _DRAWN = "(SELECT label AS g, vec_id, embedding[1]::DOUBLE AS v FROM embeddings)
 
 @query(
     f"WITH o AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY vec_id) - 1 AS i FROM {_DRAWN}), s AS (SELECT g, count(*) AS n, avg(v) AS mean FROM o GROUP BY g), "
-    "d AS (SELECT o.g, r, (('0x' || left(md5('0:' || r || ':' || o.i), 8))::UBIGINT % n)::BIGINT AS pick FROM o JOIN s USING (g), (SELECT unnest(range(0, 200)) AS r)), "
+    "d AS (SELECT o.g, r, (('0x' || left(md5('0:' || r || ':' || o.i), 8))::UBIGINT % n)::BIGINT AS pick FROM o JOIN s USING (g), (SELECT unnest(range(0, 2000)) AS r)), "
     "m AS (SELECT d.g, r, avg(o.v) AS m FROM d JOIN o ON d.g = o.g AND d.pick = o.i GROUP BY d.g, r) "
     "SELECT s.g AS label, s.n, round(s.mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM s JOIN m USING (g) GROUP BY s.g, s.n, s.mean"
 )
@@ -316,24 +358,26 @@ def fragment_block(spark, folder):
     return reports.fragment_block(rows)
 
 
+def _losses(spark, folder) -> DataFrame:
+    return token_docs(spark, folder).select("doc_id", "stream", F.transform("ids", lambda i: ((i % 1000) / 200.0).cast("double")).alias("losses"))
+
+
 _LOSS = f"(SELECT doc_id, i - 1 AS pos, (ids[i] % 1000) / 200.0 AS loss FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM {DOCS}))"
 
 
 @query(f"SELECT doc_id, count(*) FILTER (WHERE pos >= 2 AND pos < 256) AS tokens, round(avg(loss) FILTER (WHERE pos >= 2 AND pos < 256), 6) AS loss FROM {_LOSS} GROUP BY doc_id")
 def doc_losses(spark, folder):
-    rows = token_docs(spark, folder).select("doc_id", F.posexplode("ids").alias("pos", "id")).select("doc_id", "pos", ((F.col("id") % 1000) / 200.0).alias("loss"))
-    return statistics.mean_loss(rows, "doc_id")
+    return statistics.mean_loss(_losses(spark, folder), "losses").select("doc_id", "tokens", "loss")
 
 
 @query(f"SELECT CASE WHEN pos < 16 THEN '0-15' WHEN pos < 64 THEN '16-63' WHEN pos < 256 THEN '64-255' WHEN pos < 512 THEN '256-511' END AS bucket, round(avg(loss), 6) AS average FROM {_LOSS} WHERE pos < 512 GROUP BY 1")
 def bucket_means(spark, folder):
-    rows = token_docs(spark, folder).select(F.posexplode("ids").alias("pos", "id")).select(streams.bucket(F.col("pos"), [0, 16, 64, 256, 512]).alias("bucket"), ((F.col("id") % 1000) / 200.0).alias("loss"))
-    return rows.where("bucket is not null").groupBy("bucket").agg(F.round(F.avg("loss"), 6).alias("average"))
+    return streams.bucket_means(_losses(spark, folder), "losses", [0, 16, 64, 256, 512])
 
 
 @query(f"SELECT stream, round(sum(loss) / greatest(count(*), 1), 6) AS loss, count(*) AS tokens FROM {_LOSS} JOIN (SELECT doc_id, stream FROM {DOCS}) USING (doc_id) GROUP BY stream")
 def stream_losses(spark, folder):
-    rows = token_docs(spark, folder).select("stream", F.explode("ids").alias("id")).select("stream", ((F.col("id") % 1000) / 200.0).alias("loss"), F.lit(1).alias("tokens"))
+    rows = _losses(spark, folder).select("stream", F.aggregate("losses", F.lit(0.0), lambda s, x: s + x).alias("loss"), F.size("losses").cast("long").alias("tokens"))
     return statistics.weighted_loss(rows, "stream")
 
 
@@ -381,21 +425,63 @@ def nucleus(spark, folder):
 
 
 @query(
-    f"WITH w AS (SELECT doc_id, list_slice(ids, 1, 200) AS h FROM {DOCS}), b AS (SELECT doc_id, h, list_slice(h, len(h) - 1, len(h)) AS last FROM w) "
-    "SELECT doc_id, len(list_distinct(list_transform(list_filter(range(1, len(h) - 1), lambda i: list_slice(h, i, i + 1) = last), lambda i: h[i + 2]))) AS banned FROM b"
+    f"WITH w AS (SELECT doc_id, list_slice(ids, 1, len(ids) - 1) AS h FROM {DOCS}), b AS (SELECT doc_id, h, h[len(h) - 1] AS p, h[len(h)] AS q, len(h) AS n FROM w) "
+    "SELECT doc_id, len(list_distinct(list_transform(list_filter(range(1, n - 1), lambda i: h[i] = p AND h[i + 1] = q), lambda i: h[i + 2]))) AS banned FROM b"
 )
 def banned_ngrams(spark, folder):
-    return token_docs(spark, folder).select("doc_id", F.size(S.banned_by_ngram(F.col("ids"), 3)).cast("long").alias("banned"))
+    """What each document's text would repeat next: its history is the whole document before its end mark."""
+    rows = token_docs(spark, folder).select("doc_id", F.slice("ids", 1, F.size("ids") - 1).alias("history"))
+    return rows.select("doc_id", F.size(S.banned_by_ngram(F.col("history"), 3)).cast("long").alias("banned"))
 
 
 # Service and settings ---------------------------------------------------------------------------------------------------
-@query(
-    "SELECT event_id, CASE WHEN t IS NULL THEN 'text' WHEN k IS NULL OR k < 1 OR k > 80 THEN 'tokens' WHEN event_type NOT IN ('click', 'view', 'signup') THEN 'lang' END AS refused FROM (SELECT event_id, event_type, nullif(event_type, 'error') AS t, json_extract_string(props, '$.k')::INT AS k FROM events)"
+# Request bodies of every kind that may come, made from events by their number.
+_FIELDS = {
+    "text": ('"x = 1"', '"   "', "5", '""', None, '"def f():"', "null"),
+    "lang": ('"py"', '"rust"', None, '"tsx"', '"js"', "null"),
+    "temperature": ("0.5", "1.6", "-0.1", '"x"', "true", "0", None, "1.5"),
+    "tokens": ("200", "0", "513", "1.5", "512", None, "2.0"),
+    "rep_penalty": ("1.0", "1.5", "0.9", "1.6", None, "1.25"),
+}
+_STEP = {"text": 1, "lang": 7, "temperature": 3, "tokens": 5, "rep_penalty": 11}
+
+
+def _bodies(spark, folder) -> DataFrame:
+    at = lambda name, kinds: F.pmod(F.floor(F.col("event_id") / _STEP[name]), F.lit(len(kinds)))
+    part = lambda name, kinds: F.get(F.array(*(F.lit(None if k is None else f'"{name}": {k}') for k in kinds)), at(name, kinds).cast("int"))
+    joined = F.concat_ws(", ", *(part(n, k) for n, k in _FIELDS.items()))
+    return read(spark, folder, "events").select("event_id", F.concat(F.lit("{"), joined, F.lit("}")).alias("body"))
+
+
+def _sql_part(name: str, kinds) -> str:
+    texts = ", ".join("NULL" if k is None else q(f'"{name}": {k}') for k in kinds)
+    return f"list_extract([{texts}], 1 + (event_id // {_STEP[name]} % {len(kinds)})::INT)"
+
+
+_BODIES = "(SELECT event_id, ('{' || concat_ws(', ', " + ", ".join(_sql_part(n, k) for n, k in _FIELDS.items()) + ") || '}')::JSON AS b FROM events)"
+
+
+def _sql_number(name: str, low: float, high: float, whole: bool = False) -> str:
+    kind, value = f"json_type(b, '$.{name}')", f"json_extract_string(b, '$.{name}')"
+    integer = f" OR ({value})::DOUBLE <> floor(({value})::DOUBLE)" if whole else ""
+    return f"CASE WHEN {kind} IS NULL THEN false WHEN {kind} NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN true ELSE ({value})::DOUBLE < {low} OR ({value})::DOUBLE > {high}{integer} END"
+
+
+_REFUSED = (
+    "CASE WHEN coalesce(json_type(b, '$.text'), '') <> 'VARCHAR' OR trim(json_extract_string(b, '$.text')) = '' THEN 'text' WHEN length(json_extract_string(b, '$.text')) > 20000 THEN 'text too long' "
+    "WHEN json_type(b, '$.lang') IS NOT NULL AND (json_type(b, '$.lang') <> 'VARCHAR' OR json_extract_string(b, '$.lang') NOT IN ('js', 'jsx', 'ts', 'tsx', 'py')) THEN 'lang' "
+    f"WHEN {_sql_number('temperature', 0, 1.5)} THEN 'temperature' WHEN {_sql_number('tokens', 1, 512, True)} THEN 'tokens' WHEN {_sql_number('rep_penalty', 1, 1.5)} THEN 'rep_penalty' END"
 )
+
+
+def _sql_value(name: str, default, kind: str) -> str:
+    return f"CASE WHEN refused IS NULL THEN coalesce(json_extract_string(b, '$.{name}')::{'DOUBLE::' + kind if kind == 'INT' else kind}, {default}) END AS {name}"
+
+
+@query(f"SELECT event_id, refused, {_sql_value('lang', q('tsx'), 'VARCHAR')}, {_sql_value('temperature', 0.7, 'DOUBLE')}, {_sql_value('tokens', 200, 'INT')}, {_sql_value('rep_penalty', 1.1, 'DOUBLE')} FROM (SELECT *, {_REFUSED} AS refused FROM {_BODIES})")
 def validated_requests(spark, folder):
-    e = read(spark, folder, "events").select("event_id", "event_type", F.nullif(F.col("event_type"), F.lit("error")).alias("t"), F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999")).cast("int").alias("k"))
-    bad_k = F.col("k").isNull() | (F.col("k") < 1) | (F.col("k") > 80)
-    return e.select("event_id", F.when(F.col("t").isNull(), "text").when(bad_k, "tokens").when(~F.col("event_type").isin("click", "view", "signup"), "lang").alias("refused"))
+    rows = requests.validated(_bodies(spark, folder), "body")
+    return rows.select("event_id", "refused", "lang", "temperature", "tokens", "rep_penalty")
 
 
 @query("SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'unknown' ELSE 'missing' END AS state FROM (SELECT DISTINCT lang AS key FROM code_files WHERE lang IS NOT NULL) a FULL JOIN (SELECT DISTINCT lang AS key FROM doc_index WHERE lang IS NOT NULL) b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL")

@@ -25,6 +25,7 @@ DEFAULTS = {
 
 #: Rows of one 8-byte key that may be broadcast (about 64 MB in a hash relation); above it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def open_session(app: str = "textloom", master: str | None = None, partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,9 +55,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local session, whose
+    executors are this machine, gets a folder of its own; a cluster is refused, as executors could not read each other's
+    disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder[len("file://"):], ignore_errors=True)
@@ -78,11 +83,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; counts no further than one row past the limit."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows, counting no further than one row past the limit, and at most
+    ``limit_bytes`` by its schema's row size, texts and arrays as Spark reckons them."""
+    count = df.limit(limit + 1).count()
+    width = int(df._jdf.schema().defaultSize()) + 8
+    return count <= limit and count * width <= limit_bytes
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` only after its row count was checked, else leaves the choice to Spark."""
+    """Join that broadcasts ``right`` only after its size was checked, else leaves the choice to Spark."""
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, on, how)
