@@ -59,7 +59,8 @@ def _let(value: Column, use) -> Column:
 
 def top_k(logits: Column, k: int) -> Column:
     """Logits below the k-th greatest become null; ties with it stay."""
-    least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
+    some = F.array_compact(logits)
+    least = F.get(F.sort_array(some, asc=False), F.least(F.lit(k), F.size(some)) - 1)
     return _let(least, lambda t: F.transform(logits, lambda v: F.when(v >= t, v)))
 
 
@@ -84,6 +85,20 @@ def top_p(logits: Column, share: float) -> Column:
     return _let(F.struct(softmax(logits).alias("p"), least.alias("t")), lambda x: F.zip_with(logits, x["p"], lambda v, p: F.when(p >= x["t"], v)))
 
 
+def filtered(logits: Column, k: int, share: float, least: float) -> Column:
+    """The chain of filters: min-p, then top-k, then top-p; 0 for k or ``least``, or a share of 1, leaves a filter out."""
+    out = min_p(logits, least) if least > 0 else logits
+    out = top_k(out, k) if k > 0 else out
+    return top_p(out, share) if share < 1 else out
+
+
+def drawn(logits: Column, chance: Column) -> Column:
+    """The place, from 0, at which the running probability of the logits first exceeds ``chance``; nulls are never drawn."""
+    step = lambda s, p: F.struct((s["sum"] + F.coalesce(p, F.lit(0.0))).alias("sum"), (s["i"] + 1).alias("i"), F.when(s["hit"].isNull() & p.isNotNull() & (s["sum"] + p > chance), s["i"]).otherwise(s["hit"]).alias("hit"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("hit"))
+    return F.aggregate(softmax(logits), start, step, lambda s: s["hit"])
+
+
 def banned_by_ngram(history: Column, n: int) -> Column:
     """Ids that would repeat an n-gram of the history, in order of their first place."""
     size = F.size(history)

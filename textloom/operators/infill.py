@@ -54,7 +54,7 @@ def psm(df: DataFrame, ids: str, key: str, seed: int = 0, length: int | None = N
     own = df.withColumn("_body", body).withColumn("_n", F.size("_body"))
     a, b = _two(key, F.col("_n") + 1, seed)
     if newlines is not None:
-        after = F.filter(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))), lambda i: F.get("_body", i - 1).isin(*newlines))
+        after = F.array_compact(F.transform("_body", lambda x, i: F.when(x.isin(*newlines), i + 1)))
         ends = F.when(cut, F.array().cast("array<int>")).otherwise(F.array(F.lit(0), F.col("_n")))
         own = own.withColumn("_at", F.array_sort(F.array_distinct(F.concat(after, ends))))
         i, j = _two(key, F.size("_at"), seed)
@@ -75,7 +75,7 @@ def psm_text(df: DataFrame, text: str, key: str, encode, head: Column, seed: int
     own = df.withColumn("_n", n)
     a, b = _two(key, F.col("_n") + 1, seed)
     if line_rate > 0:
-        after = F.filter(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(1)) == "\n")
+        after = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c == "\n", i + 1)))
         own = own.withColumn("_at", F.array_sort(F.array_distinct(F.concat(after, F.array(F.lit(0), F.col("_n"))))))
         i, j = _two(key, F.size("_at"), seed)
         lined = (uniform(seed + 3, F.col(key)) < line_rate) & (F.size("_at") >= 2)
@@ -191,5 +191,5 @@ def trimmed_context(text: Column, budget: int, keep_end: bool) -> Column:
 def token_cut(ids: Column, newline: int, lines: int, before: int = 3, after: int = 2) -> Column:
     """``struct(start, stop)``: a middle of ``lines`` lines that begins after the ``before``-th newline token; null if
     fewer than ``after`` newlines follow it."""
-    at = F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.element_at(ids, i) == newline)
+    at = F.array_compact(F.transform(ids, lambda x, i: F.when(x == newline, i + 1)))
     return F.when(F.size(at) >= before + lines + after, F.struct(F.element_at(at, before).alias("start"), F.element_at(at, before + lines).alias("stop")))

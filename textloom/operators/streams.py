@@ -57,8 +57,8 @@ def placed(docs: DataFrame, by: str = "stream", key: str = "doc_id", ids: str =
 
 def _marks(ids: Column, start: Column, token: int) -> Column:
     """Places in the stream of one token of a document."""
-    at = F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.element_at(ids, i) == token)
-    return F.when(F.size(ids) > 0, F.transform(at, lambda i: start + i - 1)).otherwise(F.array().cast("array<bigint>"))
+    at = F.array_compact(F.transform(ids, lambda x, i: F.when(x == token, start + i)))
+    return F.coalesce(at, F.array().cast("array<bigint>"))
 
 
 def spans(docs: DataFrame, by: str = "stream", ids: str = "ids", start: str = "start") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import corpus, evaluation, sequences
+from textloom.plans import corpus, evaluation, pipelines, sequences
 
-_PARTS = (corpus, sequences, evaluation)
+_PARTS = (corpus, sequences, evaluation, pipelines)
 
 
 def queries() -> dict:

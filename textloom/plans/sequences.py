@@ -28,6 +28,7 @@ def query(sql: str | None = None):
 
 # Token streams: one stream per source of documents; a word's id comes from its hash ------------------------------------
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
+_TOKENS_ID = _WORDS
 _ID = "(('0x' || left(md5(w), 8))::UBIGINT % 16000 + 10)::INT"
 DOCS = f"(SELECT doc_id, coalesce(source, 'none') AS stream, coalesce(lang, 'none') AS lang, list_concat([1, 3], list_concat(list_transform({_WORDS}, lambda w: {_ID}), [2])) AS ids FROM documents WHERE text IS NOT NULL)"
 PLACED = f"(SELECT *, (sum(len(ids)) OVER (PARTITION BY stream ORDER BY doc_id) - len(ids))::BIGINT AS start FROM {DOCS})"
