@@ -27,7 +27,8 @@ def test_sources(spark, tmp_path):
             if f.endswith(".json.gz"):
                 os.rename(f"{tmp_path}/{name}/{f}", f"{tmp_path}/{name}/shard-0.jsonl.gz")
     both = files.read_documents(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).collect()
-    assert sorted((r["source"], r["code"]) for r in both) == [(0, "é\n1"), (1, "é\n1")]
+    assert sorted((r["source"], r["seq"], r["code"]) for r in both) == [(0, 0, "é\n1"), (1, 0, "é\n1")]
+    assert [p.rsplit("/", 1)[1] for p in files.list_shards(spark, [f"{tmp_path}/b", f"{tmp_path}/none", f"{tmp_path}/a"], ".gz")] == ["shard-0.jsonl.gz"] * 2
     (tmp_path / "log.csv").write_text("step,loss,lr,tok_s,rss_gb,grad_norm,val_loss,val_fim_loss,fim_mid_loss,fim_stop_rate\n10,1.5,,,,,,,,\n20,,,,,,2.5,,,\n")
     assert [(r["step"], r["loss"], r["val_loss"]) for r in files.read_log(spark, f"{tmp_path}/log.csv").collect()] == [(10, 1.5, None), (20, None, 2.5)]
     lines = spark.createDataFrame([("# c",), (" A = 'b=c' ",), ("",), ("D=e",), ("junk",)], "value string")
@@ -57,6 +58,51 @@ def test_event_streams(spark, tmp_path):
     assert ingest.paired_by_step(e, e, "10 minutes").count() == 20
 
 
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    import gzip
+    import json
+
+    (tmp_path / "d").mkdir()
+    texts = [[f"{f}{i}" for i in range(n)] for f, n in (("a", 3), ("b", 0), ("c", 2))]
+    for f, rows in zip("abc", texts):
+        with gzip.open(tmp_path / "d" / f"shard-{f}.jsonl.gz", "wt") as file:
+            file.writelines(json.dumps({"code": c, "repo": "o/r"}) + "\n" for c in rows)
+    got = files.read_documents(spark, [str(tmp_path / "d")])
+    assert [r["code"] for r in sorted(got.collect(), key=lambda r: r["seq"])] == ["a0", "a1", "a2", "c0", "c1"] and {r["seq"] for r in got.collect()} == set(range(5))
+    marks = spark.createDataFrame([(0, 1, True), (0, 3, False), (0, 3, None)], "source int, seq long, fresh boolean")
+    assert {r["seq"] for r in files.enriched(got.withColumn("path", F.lit("x.js")), marks).where("fresh").collect()} == {1}
+    assert files.write_tokens(spark.createDataFrame([(5, [1, 2]), (0, [3]), (7, None)], "offset long, ids array<int>"), f"{tmp_path}/t") == 3
+    assert files.write_report(spark.range(3), f"{tmp_path}/r") == 3
+    with pytest.raises(ValueError):
+        files.write_report(spark.range(9), f"{tmp_path}/q", 5)
+
+
+def test_settings_and_secrets():
+    assert files.secret("T", {"T": "a"}, ["T=b"]) == {"Authorization": "Bearer a"} and files.secret("T", {}, ["# T=c", "X=1", " T = 'b' "]) == {"Authorization": "Bearer b"} and files.secret("T", {}, []) == {}
+    assert files.strict('{"a": 1}', {"a": ..., "b": 2}) == {"a": 1, "b": 2}
+    for text in ('{"a": 1, "c": 2}', "{}"):
+        with pytest.raises(ValueError):
+            files.strict(text, {"a": ..., "b": 2})
+
+
+def test_ingest_without_duplicates_across_batches(spark, tmp_path):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    df = spark.createDataFrame([(i, words(i % 4) if i != 7 else None) for i in range(10)], "id long, code string")
+    step = lambda d: d.withColumn("reason", F.when(F.col("code").isNull(), "empty"))
+    run = lambda **x: ingest.ingest_unique(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/out", f"{tmp_path}/check", f"{tmp_path}/index", step, "id", "code", 1, **x)
+    for i in range(2):
+        df.where(F.col("id") % 2 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert run() == 1
+    (tmp_path / "stop").write_text("")
+    df.limit(2).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run(stop_marker=f"file://{tmp_path}/stop") == 0 and not (tmp_path / "stop").exists() and run() == 1
+    got = {(r["batch"], r["id"]): r["reason"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {k[1] for k, v in got.items() if v is None} == {0, 2, 1, 3} and got[(1, 7)] == "empty" and got[(2, 0)] == got[(2, 1)] == "duplicate" and got[(0, 4)] == "duplicate"
+    with pytest.raises(ValueError):
+        run(base=5)
+    assert ingest.dry_run(spark, f"{tmp_path}/in", df.schema, step).where("reason = 'empty'").count() == 1
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_against_sql(spark, name):

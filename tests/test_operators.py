@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import chance
 from textloom.functions import scoring as S
-from textloom.operators import dedup, infill, reports, runs, selection, statistics, streams
+from textloom.operators import dedup, evaluation, infill, ordered, reports, requests, runs, selection, statistics, streams
 
 
 def col(spark, column, value, kind):
@@ -61,6 +62,7 @@ def docs(spark, n=600, seed=1):
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_select_within(spark, partitions):
     rows, df = docs(spark)
+    df = df.withColumn("_range", F.lit("x"))
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         fractions = spark.createDataFrame([("a", 0.3), ("b", 1.0)], "class_key string, fraction double")
@@ -83,7 +85,7 @@ def test_select_within(spark, partitions):
 
 def test_caps_samples_and_offsets(spark):
     rows, df = docs(spark)
-    got = {r["id"] for r in selection.under_caps(df, {"a": 100}, "class_key", "length", ["id"]).collect()}
+    got = {r["id"] for r in selection.under_caps(df, {"a": 100}, "class_key", "length", "id").collect()}
     run, want = 0, {r[0] for r in rows if r[1] != "a"}
     for r in rows:
         if r[1] == "a" and run < 100:
@@ -100,23 +102,49 @@ def test_caps_samples_and_offsets(spark):
 STREAM = [9, 9, 2, 1, 3, 9, 9, 2, 1, 3, 9, 2, 1, 4, 9, 9, 9, 2, 1, 5]
 
 
-def flat(spark, tokens=STREAM):
-    return spark.createDataFrame([("s", i, t) for i, t in enumerate(tokens)], "stream string, pos long, token int")
+def cut(spark, tokens=STREAM, sizes=(1, 4, 2, 0, 6, 3, 50)):
+    """The stream as documents of the given sizes, whatever its marks are."""
+    rows, at = [], 0
+    for i, n in enumerate(sizes):
+        rows.append(("s", i, tokens[at : at + n]))
+        at += n
+    return streams.placed(spark.createDataFrame([*rows, ("s", 90, None), ("t", 1, [1, 3, 2])], "stream string, doc_id long, ids array<int>"))
 
 
-def test_spans_and_documents_at(spark):
-    spans = streams.spans(flat(spark))
-    assert sorted((r["begin"], r["stop"]) for r in spans.collect()) == [(3, 7), (8, 11), (12, 17)]
+@pytest.mark.parametrize("sizes", [(1, 4, 2, 0, 6, 3, 50), (50,), (1,) * 20, (5, 15)])
+def test_spans_and_documents_at(spark, sizes):
+    spans = streams.spans(cut(spark, sizes=sizes))
+    assert sorted((r["stream"], r["begin"], r["stop"]) for r in spans.collect()) == [("s", 3, 7), ("s", 8, 11), ("s", 12, 17), ("t", 0, 2)]
     offsets = spark.createDataFrame([("s", i) for i in (0, 3, 7, 8, 16, 19)], "stream string, at long")
-    got = {r["at"]: r["begin"] for r in streams.document_at(offsets, spans).collect()}
-    assert got == {0: 3, 3: 3, 7: 3, 8: 8, 16: 12, 19: 12}
-
-
-@pytest.mark.parametrize("length", [1, 3, 5, 20, 25])
-def test_windows_with_end(spark, length):
-    r = streams.windows_with_end(flat(spark), length).first()
-    starts = range(max(0, len(STREAM) - length + 1))
-    assert (r["windows"], r["with_end"]) == (len(starts), sum(2 in STREAM[i : i + length] for i in starts))
+    for width in (1, 4, 1 << 22):
+        got = {r["at"]: r["begin"] for r in streams.document_at(offsets, spans, width=width).collect()}
+        assert got == {0: 3, 3: 3, 7: 3, 8: 8, 16: 12, 19: 12}
+
+
+@pytest.mark.parametrize("length", [1, 3, 5, 8, 19, 25])
+@pytest.mark.parametrize("sizes", [(1, 4, 2, 0, 6, 3, 50), (1,) * 20])
+def test_window_coverage(spark, length, sizes):
+    r = streams.window_coverage(cut(spark, sizes=sizes), length).where("stream = 's'").first()
+    starts = range(max(0, len(STREAM) - length))  # as many windows as tokens less the length
+    assert (r["windows"], r["with_end"], r["at_start"]) == (len(starts), sum(2 in STREAM[i : i + length] for i in starts), sum(STREAM[i] == 1 for i in starts))
+
+
+@pytest.mark.parametrize("sizes", [(1, 4, 2, 0, 6, 3, 50), (1,) * 20, (50,)])
+def test_windows_of_the_stream(spark, sizes):
+    docs = cut(spark, sizes=sizes)
+    got = {r["window"]: r["tokens"] for r in streams.stream_windows(docs, 4).where("stream = 's'").collect()}
+    assert got == {i: STREAM[i * 4 : i * 4 + 5] for i in range(4)}
+    drawn = streams.random_windows(docs, 12, 6, 1).where("stream = 's'").collect()
+    assert len(drawn) == 12 and all(r["x"] == STREAM[r["at"] : r["at"] + 6] and r["y"] == STREAM[r["at"] + 1 : r["at"] + 7] for r in drawn)
+    rows = {r["doc_id"]: r["row"] for r in streams.following(docs, 9).where("stream = 's'").collect()}
+    at = 0
+    for i, n in enumerate(sizes):
+        n = min(n, len(STREAM) - at)
+        want = (STREAM[at : at + n] + STREAM[at + n :] + STREAM[: at + n])[:9]
+        assert rows[i] == want, i
+        at += n
+    checked = streams.integrity(docs, 10).where("stream = 't'").first()
+    assert (checked["docs"], checked["tokens"], checked["files"], checked["ends"], checked["whole"], checked["top"], checked["fits"]) == (1, 3, 1, 1, 1, 3, True)
 
 
 def test_windows_padding_and_vocabulary(spark):
@@ -229,6 +257,38 @@ def test_tails_and_bootstrap(spark):
     assert got["c"]["low"] == got["c"]["high"] == got["c"]["mean"] == 3.0 and got["a"]["low"] < 0.5 < got["a"]["high"] and "n" not in got
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-3, 40), st.just(float("nan")))), max_size=60))
+def test_quantiles(spark, rows):
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    got = {r["g"]: (r["n"], r["low"], r["half"], r["top"]) for r in ordered.quantiles(df, "g", "v", {"low": 0.05, "half": 0.5, "top": 1.0}).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = [v for h, v in rows if h == g and v is not None and v == v]
+        if own:
+            want[g] = (len(own), *(pytest.approx(np.quantile(own, p)) for p in (0.05, 0.5, 1.0)))
+    assert got == want
+
+
+def test_quantiles_of_many_rows(spark):
+    rng = np.random.default_rng(0)
+    values = np.concatenate([rng.normal(size=6000), np.full(3000, 0.25), rng.integers(0, 5, 3000)])
+    df = spark.createDataFrame([(float(v), "g") for v in values], "v double, g string")
+    got = ordered.quantiles(df, "g", "v", {"a": 0.05, "b": 0.5, "c": 0.95, "d": 0.333}).first()
+    assert [got[c] for c in "abcd"] == pytest.approx(list(np.quantile(values, [0.05, 0.5, 0.95, 0.333])))
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_carried(spark, ahead):
+    rng = random.Random(1)
+    rows = [("a" if i % 3 else None, i, rng.choice([None, None, i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i long, v long").withColumn("_before", F.lit(1))
+    got = {r["i"]: r["o"] for r in ordered.carried(df, ["g"], ["i"], F.floor(F.col("i") / 7), "v", "o", ahead).collect()}
+    for g, i, _ in rows:
+        seen = [r[2] for r in rows if r[0] == g and r[2] is not None and (r[1] > i if ahead else r[1] < i)]
+        assert got[i] == ((seen[0] if ahead else seen[-1]) if seen else None)
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("py", True, True, True, 1.0, 0.1), ("py", False, False, True, 0.9, None), ("ts", True, False, False, 0.5, 0.4), (None, True, True, True, 1.0, 0.0)], "lang string, finished boolean, ok boolean, trimmed_ok boolean, retention double, repeat double")
     got = {r["lang"]: r for r in reports.fragment_block(rows).collect()}
@@ -255,23 +315,24 @@ def test_banned_ngrams_of_whole_documents(spark, tmp_path):
     spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {}
     for r in sequences.token_docs(spark, str(tmp_path)).collect():
-        h = list(r["ids"])
+        h = list(r["ids"])[:-1]
         want[r["doc_id"]] = len({h[i + 2] for i in range(len(h) - 2) if h[i : i + 2] == h[-2:]})
     assert {tuple(r) for r in sequences.banned_ngrams(spark, str(tmp_path)).collect()} == set(want.items())
 
 
-def test_run_health_up_to_the_last_step(spark, tmp_path):
-    from textloom.plans import evaluation
+def test_run_health_at_any_step(spark):
+    from textloom.operators import evaluation
 
-    events = [(i, "a", float(i % 7)) for i in (0, 2, 4, 199, 200, 202, 8000, 8002, 8004, 9001, 50_000, 50_002)]
-    spark.createDataFrame(events, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(s, float(s % 7) if s % 3 else None, s % 11 * 1.0, s % 5 + 1.0) for s in [*range(1, 60), 60, 60, 997, 1500]]
+    log = spark.createDataFrame(rows, "step long, loss double, grad_norm double, tok_s double")
+    asked = [1, 7, 10, 13, 20, 60, 61, 1000, 5000]
+    got = {r["upto"]: (r["loss"], r["most"], r["speed"], r["rows"]) for r in evaluation.health(log, spark.createDataFrame([(a,) for a in asked], "upto long"), 10).collect()}
     want = {}
-    for i, _, value in events:
-        step = i // 4 * 10
-        if i % 2 == 0 and step > 0:
-            want.setdefault(-(-step // 500) * 500, []).append(value)
-    got = {r["upto"]: (r["loss"], r["most"], r["speed"], r["rows"]) for r in evaluation.run_health(spark, str(tmp_path)).collect()}
-    assert got == {k: (round(sum(v) / len(v), 6), max(v) + 1, round(sum(v) / len(v) + 1, 6), len(v)) for k, v in want.items()} and max(got) == 125_000
+    for a in asked:
+        own = [r for r in rows if a - 10 < r[0] <= a and r[1] is not None]
+        if own:
+            want[a] = (round(np.mean([r[1] for r in own]), 6), max(r[2] for r in own), round(np.mean([r[3] for r in own]), 6), len(own))
+    assert got == want
 
 
 def test_vocab_extend_takes_documents_of_all_languages(spark, tmp_path):
@@ -281,3 +342,100 @@ def test_vocab_extend_takes_documents_of_all_languages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r["token"] for r in sequences.vocab_extend(spark, str(tmp_path)).orderBy("id").collect()]
     assert got == ["a", "b", "casa", "d", "e", "f", "<|prefix|>", "<|suffix|>", "<|middle|>", "the"]
+
+
+def test_infill_within_a_length_and_along_lines(spark):
+    rng = random.Random(4)
+    rows = [(i, "s", [1, 3, *(rng.choice([50, 60, rng.randrange(10, 99)]) for _ in range(rng.choice([0, 1, 2, 3, 30, 200]))), 2]) for i in range(120)]
+    df = streams.placed(spark.createDataFrame(rows, "doc_id long, stream string, ids array<int>"))
+    for r in infill.psm(df, "ids", "doc_id", 0, 40, [50, 60]).withColumn("p", infill.split_psm(F.col("psm"))).collect():
+        body, p = r["ids"][2:-1], r["p"]
+        if len(body) < 2:
+            assert r["psm"] == r["ids"]
+            continue
+        joined = p["prefix"] + p["middle"] + p["suffix"]
+        assert len(r["psm"]) <= 40 and len(joined) == min(len(body), 34) and any(body[i : i + len(joined)] == joined for i in range(len(body)))
+        places = {i + 1 for i, t in enumerate(joined) if t in (50, 60)} | ({0, len(joined)} if len(body) <= 34 else set())
+        if len(places) >= 2:
+            assert len(p["prefix"]) in places and len(p["prefix"]) + len(p["middle"]) in places and p["middle"]
+    assert {r["kind"] for r in infill.infill_rows(df, 40, rate=0.0).collect()} == {"plain"}
+    flat = [t for _, _, ids in rows for t in ids]
+    at = 0
+    for r in sorted(infill.infill_rows(df, 40, 0, 0.7, 0.5, [50, 60]).collect(), key=lambda r: r["doc_id"]):
+        n = len(r["ids"])
+        follows = (flat[at + n :] + flat[: at + n])[:40]
+        assert len(r["row"]) == 40 and (r["row"][: len(r["ids"])] == r["ids"][:40]) >= (r["kind"] == "plain")
+        if r["kind"] != "plain" and 5 <= n <= 30:
+            assert r["row"][n + 3 :] == follows[: 40 - n - 3]
+        at += n
+    with pytest.raises(ValueError):
+        infill.infill_rows(df, 40, line_rate=0.5)
+
+
+def test_text_infill_and_rebuilding(spark):
+    texts = [(i, "".join(random.Random(i).choice("ab\n") for _ in range(n))) for i, n in enumerate([0, 1, 2, 5, 30, 300])] + [(9, None)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    letters = lambda c: F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ""), F.ascii))
+    for r in infill.psm_text(df, "t", "id", letters, F.array(F.lit(1), F.lit(3)), 0, 100, 0.5).withColumn("p", infill.split_psm(F.col("psm"))).collect():
+        if r["t"] is None or len(r["t"]) < 2:
+            assert r["psm"] is None
+            continue
+        got = "".join(map(chr, r["p"]["prefix"] + r["p"]["middle"]))
+        assert got in r["t"] and r["p"]["middle"] and (len(r["psm"]) <= 100 or len(r["p"]["middle"]) > 94)
+    assert col(spark, lambda x: infill.cropped(x, F.lit("p\nq\n")), "a\nb\nc", "string") == "a\nb\n" and col(spark, lambda x: infill.rebuilt(F.lit("p\n"), x, F.lit("s")), "g", "string") == "p\ng\ns"
+    assert col(spark, infill.lines_of, "a\n\nb", "string") == ["a\n", "\n", "b"] and col(spark, infill.lines_of, "", "string") == []
+
+
+def test_requests(spark):
+    fine = ['{"text": "x = 1"}', '{"text": "a", "lang": "py", "temperature": 0, "tokens": 512, "rep_penalty": 1.5}', '{"text": "a", "tokens": 2.0}', json.dumps({"text": "a" * 20000})]
+    bad = [{}, {"text": ""}, {"text": "   "}, {"text": 5}, {"text": "a" * 20001}, {"text": "a", "lang": "rust"}, {"text": "a", "temperature": -0.1}, {"text": "a", "temperature": 1.6}, {"text": "a", "temperature": "x"}, {"text": "a", "tokens": 0}, {"text": "a", "tokens": 513}, {"text": "a", "tokens": 1.5}, {"text": "a", "rep_penalty": 0.9}, {"text": "a", "rep_penalty": 1.6}, {"text": "a", "temperature": True}]
+    rows = spark.createDataFrame([(b,) for b in [*fine, *map(json.dumps, bad), "not json", "[1]", None]], "b string")
+    got = requests.validated(rows, "b").collect()
+    assert [r["refused"] is None for r in got] == [True] * len(fine) + [False] * (len(bad) + 3)
+    assert (got[0]["lang"], got[0]["temperature"], got[0]["tokens"], got[0]["rep_penalty"]) == ("tsx", 0.7, 200, 1.1) and (got[1]["lang"], got[1]["temperature"], got[1]["tokens"]) == ("py", 0.0, 512)
+
+
+def test_selection_of_documents_with_caps(spark):
+    """What a cap turns away does not make a later document a duplicate, and duplicates use up no cap."""
+    body = lambda i: "".join(f"export const a{i}x{k} = useState({k * i});\n" for k in range(30))
+    nest = lambda i: "".join(f"@Controller('p{i}') export class C{i}x{k} {{}}\n" for k in range(30))
+    rows = [(1, body(1), "a.tsx"), (2, body(1), "b.tsx"), (3, body(3), "c.tsx"), (4, body(4), "d.tsx"), (5, nest(5), "n.ts"), (6, body(6), "e.jsx"), (7, None, "f.tsx"), (8, nest(5), "m.ts"), (9, body(4), "g.tsx"), (10, "import fastapi\n" + "x = 1\n" * 60, "p.py")]
+    size = len(body(1))
+    got = {r["id"]: r["reason"] for r in dedup.select_documents(spark.createDataFrame(rows, "id long, code string, path string"), "id", {"react": size + 1, "nestjs": 10}).collect()}
+    assert got == {1: None, 2: "duplicate", 3: None, 4: "cap", 5: None, 6: "unwanted", 7: "off_domain", 8: "cap", 9: "cap", 10: None}
+    assert dedup.select_documents(spark.createDataFrame([], "id long, code string, path string"), "id", {"react": 5}).count() == 0
+
+
+def test_signature_index(spark, tmp_path):
+    a, b, c = chain()
+    index = dedup.SignatureIndex(spark, f"{tmp_path}/index")
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t string")
+    first = {r["id"]: r["duplicate"] for r in index.admit(0, frame([(1, a), (2, a), (3, None)]), "id", "t").collect()}
+    second = {r["id"]: r["duplicate"] for r in index.admit(1, frame([(4, b), (5, c), (6, c)]), "id", "t").collect()}
+    again = {r["id"]: r["duplicate"] for r in index.admit(1, frame([(4, b), (5, c), (6, c)]), "id", "t").collect()}
+    assert first == {1: False, 2: True, 3: False} and second == again == {4: True, 5: False, 6: True}
+    index.check(2)
+    with pytest.raises(ValueError):
+        index.check(3)
+
+
+def test_first_wins_raises_when_rounds_run_out(spark):
+    line = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    assert sorted(r["id"] for r in dedup.first_wins(line).collect()) == [1, 3, 5, 7]
+    with pytest.raises(RuntimeError):
+        dedup.first_wins(line, rounds=2)
+
+
+def test_verdicts_of_parsers_and_scores(spark):
+    items = evaluation.parser_jobs(spark.createDataFrame([(1, "js"), (2, "tsx"), (3, "cobol"), (4, None)], "id long, lang string"))
+    assert sorted((r["id"], r["parser"]) for r in items.collect()) == [(1, "js"), (1, "jsx"), (2, "tsx")]
+    verdicts = spark.createDataFrame([(1, 0, False, "first"), (1, 1, True, ""), (2, 0, False, "one"), (2, 1, False, "two")], "id long, place int, ok boolean, error string")
+    assert {tuple(r) for r in evaluation.any_parser(verdicts, "id").collect()} == {(1, True, ""), (2, False, "one")}
+    assert evaluation.names_share(spark.createDataFrame([], "lang string, ok boolean, undefined_names boolean")).first()["without_undefined"] is None
+
+
+def test_log_status(spark):
+    rows = [(0, 10, 1.0, 5.0, None), (1, 20, 2.0, 5.0, None), (2, 20, 3.0, 7.0, None), (3, 20, None, None, 2.5), (4, 10, None, None, 3.0)]
+    got = runs.status(spark.createDataFrame(rows, "line long, step long, loss double, tok_s double, val_loss double"), 100, 864).first()
+    assert tuple(got) == (20, 3.0, 6.0, 2.5, 2.5, 80, round(80 * 864 / 6 / 86400, 6))
+    assert runs.status(spark.createDataFrame([], "line long, step long, loss double, tok_s double, val_loss double"), 100, 1).count() == 0

@@ -48,7 +48,7 @@ def _with_base(own: DataFrame, part: DataFrame, by: list[str], before: Column) -
     return own.join(base, _same(by)).drop("_ordered_b_range", *(f"_ordered_b_{c}" for c in by))
 
 
-def running_total(df: DataFrame, by: list[str], order: list[Column], ranged: Column, weight: str, out: str = "running") -> DataFrame:
+def running_total(df: DataFrame, by: list[str], order: list[Column], ranged: Column, weight: str, out: str = "_upto") -> DataFrame:
     """Adds the inclusive running total of ``weight`` within ``by`` along ``order``; null weights count as nothing.
     ``ranged`` must not fall along ``order``; the last part of ``order`` must settle ties."""
     places = [f"_ordered_o{i}" for i in range(len(order))]

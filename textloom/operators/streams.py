@@ -51,8 +51,8 @@ def placed(docs: DataFrame, by: str = "stream", key: str = "doc_id", ids: str =
     """Adds ``start``: the place in its stream at which each document begins, documents standing in the order of the whole
     number ``key``. Null arrays take no room."""
     own = docs.withColumn("_size", F.greatest(F.size(ids), F.lit(0)).cast("long"))
-    run = running_total(own, [by], [F.col(key), F.col("_size")], number_ranges(docs, key), "_size")
-    return run.withColumn("start", F.col("running") - F.col("_size")).drop("running", "_size")
+    run = running_total(own, [by], [F.col(key), F.col("_size")], number_ranges(docs, key), "_size", "_upto")
+    return run.withColumn("start", F.col("_upto") - F.col("_size")).drop("_upto", "_size")
 
 
 def _marks(ids: Column, start: Column, token: int) -> Column:
@@ -166,8 +166,8 @@ def following(docs: DataFrame, length: int, by: str = "stream", key: str = "doc_
     low, high = F.greatest("_from", "_b"), F.least("_to", F.col("_b") + F.size("_ids"))
     met = asked.join(held, (F.col(by) == F.col("_s")) & (F.col("_part") == F.col("_p"))).where((low < high) & (F.floor(low / length) == F.col("_part")))
     cut = met.select(by, "_k", F.struct("_lap", low.alias("low"), F.slice("_ids", (low - F.col("_b") + 1).cast("int"), (high - low).cast("int")).alias("piece")).alias("x"))
-    tail = cut.groupBy(by, "_k").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"])).alias("_tail"))
-    out = docs.join(tail, (docs[by] == tail[by]) & (docs[key] == tail["_k"]), "left").drop(tail[by], "_k")
+    tail = cut.groupBy(F.col(by).alias("_s"), "_k").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"])).alias("_tail"))
+    out = docs.join(tail, (F.col(by) == F.col("_s")) & (F.col(key) == F.col("_k")), "left").drop("_s", "_k")
     return out.withColumn("row", F.slice(F.concat(F.col(ids), F.coalesce("_tail", F.array().cast("array<int>"))), 1, length)).drop("_tail")
 
 

@@ -102,7 +102,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A run log; blanks are null. ``line`` is the place in its file, from 1 for the first row behind the heading. A log is
     small, so its lines are read as one text each file and numbered as they stand."""
     names = [f.name for f in LOG]
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
     rows = text.select("file", F.split(F.get("lines", 0), ",").alias("heads"), F.posexplode("lines").alias("line", "row")).where("line > 0 and row <> ''")
     cells = F.split("row", ",")
     at = lambda n: F.get(cells, (F.array_position("heads", n) - 1).cast("int"))
@@ -129,7 +129,7 @@ def until_bytes(shards: DataFrame, target: int, done: DataFrame, most: int | Non
     """Shards still to be taken, in their order: not those done, none once what came before reaches ``target``, and no more
     than ``most`` of them in one run."""
     run = running_total(shards.withColumn("_all", F.lit(0)), ["_all"], [F.col(order), F.col(name)], number_ranges(shards, order), size)
-    own = run.where(F.col("running") - F.coalesce(F.col(size), F.lit(0)) < target).drop("_all", "running").join(done.select(name).distinct(), name, "left_anti")
+    own = run.where(F.col("_upto") - F.coalesce(F.col(size), F.lit(0)) < target).drop("_all", "_upto").join(done.select(name).distinct(), name, "left_anti")
     return own if most is None else own.orderBy(order, name).limit(most)
 
 
