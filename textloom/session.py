@@ -26,6 +26,8 @@ DEFAULTS = {
 #: Rows of one 8-byte key that may be broadcast (about 64 MB in a hash relation); above it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a row group of scratch tables, so that no task that reads them back has to take a large file whole.
+SCRATCH_BLOCK = 16 << 20
 
 
 def open_session(app: str = "textloom", master: str | None = None, partitions: int = 8, **conf: str) -> SparkSession:
@@ -72,7 +74,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     path = f"{scratch_dir(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", SCRATCH_BLOCK).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
