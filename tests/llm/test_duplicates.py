@@ -1,4 +1,5 @@
 import random
+import shutil
 import re
 
 import numpy as np
@@ -141,27 +142,44 @@ def test_batches_one_by_one_and_at_once(spark, tmp_path):
 
     store = history.FingerprintStore(spark, f"file://{tmp_path}/a")
     history.load_history(store, history_df, "file_id", "code")
-    got = history.ingest(store, batch, history_df, "new_id", "code", ["batch_no"], "file_id")
+    got = history.ingest(store, batch, [(history_df, "file_id")], "new_id", "code", ["batch_no"], "one")
     assert {r["id"]: r["accepted"] for r in got.collect()} == want
-
-    store = history.FingerprintStore(spark, f"file://{tmp_path}/b")
-    history.load_history(store, history_df, "file_id", "code")
-    seen, past = {}, history_df
-    for n in range(6):
-        own = batch.where(F.col("batch_no") == n)
-        store = history.FingerprintStore(spark, f"file://{tmp_path}/b")  # opened again, as after a restart
-        rows = history.ingest(store, own, past, "new_id", "code", ["batch_no"], "file_id").collect()
-        seen |= {r["id"]: r["accepted"] for r in rows}
-        past = past.unionByName(own.select(F.col("new_id").alias("file_id"), "code"))
-    assert seen == want
+    with pytest.raises(ValueError):
+        history.ingest(store, batch, [(history_df, "file_id")], "new_id", "code", ["batch_no"], "one")
+
+    history_df.repartition(4).write.parquet(f"{tmp_path}/past")  # read from files, so that only some of them are read again
+    batch.write.parquet(f"{tmp_path}/new")
+    past, waiting = spark.read.parquet(f"{tmp_path}/past"), spark.read.parquet(f"{tmp_path}/new")
+    for at_once in (1, 4):
+        store = history.FingerprintStore(spark, f"file://{tmp_path}/b{at_once}", expected=2 * history.SLICE_PRINTS)
+        history.load_history(store, past, "file_id", "code")
+        history.load_history(store, past, "file_id", "code")  # nothing happens
+        rows = history.take_batches(spark, store.folder, waiting, "batch_no", [(past, "file_id")], "new_id", "code", at_once).collect()
+        assert {r["id"]: r["accepted"] for r in rows} == want
+        assert len(history.FingerprintStore(spark, store.folder).loads) == 1 + -(-6 // at_once)
+
+
+def test_a_broken_load_leaves_nothing(spark, tmp_path):
+    store = history.FingerprintStore(spark, f"file://{tmp_path}/s")
+    df = spark.createDataFrame(list(enumerate(texts(9, 10))), "file_id long, code string")
+    profiled = history.distinct_texts(history.profiles(df, "file_id", "code"))
+    store.add(profiled, "a")
+    shutil.rmtree(f"{tmp_path}/s/done/a")  # as if it had broken off before its mark
+    again = history.FingerprintStore(spark, f"file://{tmp_path}/s")
+    assert not again.used and again.texts.count() == 0
+    again.add(profiled, "a")
+    again.add(profiled, "a")
+    assert again.texts.count() == profiled.count() and again.loads == ["a"]
 
 
 def test_filters_let_all_known_prints_pass(spark, tmp_path):
     store = history.FingerprintStore(spark, f"file://{tmp_path}/c", expected=3 * history.SLICE_PRINTS)
     df = spark.createDataFrame(list(enumerate(texts(9, 30))), "file_id long, code string")
     history.load_history(store, df, "file_id", "code")
-    own = store.texts.select(F.explode("prints").alias("print"))
-    assert store.slices == 3 and store.known_prints(own).count() == own.distinct().count()
+    own = history.profiles(df, "file_id", "code").select(F.explode("prints").alias("print"))
+    known = store.known_prints(own)
+    assert store.slices == 3 and known.count() == own.distinct().count()
+    assert store.holders(known).select("print", "id").distinct().count() == history.distinct_texts(history.profiles(df, "file_id", "code")).select("id", F.explode("prints")).distinct().count()
     other = spark.range(5000).select(F.xxhash64("id").alias("print"))
     assert store.known_prints(other).count() < 250
 
@@ -170,9 +188,9 @@ def test_an_empty_store_and_an_empty_batch(spark):
     store = history.FingerprintStore(spark)
     empty = spark.createDataFrame([], "file_id long, code string")
     batch = spark.createDataFrame([(1, 1, "a b c d e f g"), (2, 1, "a b c d e f g")], "new_id long, batch_no int, code string")
-    got = history.ingest(store, batch, empty, "new_id", "code", ["batch_no"], "file_id").collect()
+    got = history.ingest(store, batch, [(empty, "file_id")], "new_id", "code", ["batch_no"], "one").collect()
     assert sorted((r["id"], r["accepted"]) for r in got) == [(1, True), (2, False)]
-    assert history.ingest(store, batch.limit(0), empty, "new_id", "code", ["batch_no"], "file_id").count() == 0
+    assert history.ingest(store, batch.limit(0), [(empty, "file_id")], "new_id", "code", ["batch_no"], "two").count() == 0
 
 
 def test_first_wins_on_a_chain(spark):
@@ -194,7 +212,7 @@ def test_lists_in_another_order_are_found(spark):
     batch = spark.createDataFrame(new, "new_id long, batch_no int, code string")
     store = history.FingerprintStore(spark)
     history.load_history(store, past, "file_id", "code")
-    got = history.ingest(store, batch, past, "new_id", "code", ["batch_no"], "file_id").collect()
+    got = history.ingest(store, batch, [(past, "file_id")], "new_id", "code", ["batch_no"], "one").collect()
     want = reference_decisions([t for _, t in old], [(i, t) for i, _, t in sorted(new, key=lambda x: x[1:2])])
     assert sum(want.values()) < len(want)
     assert {r["id"]: r["accepted"] for r in got} == want

@@ -1,9 +1,13 @@
-"""Problem 7: checking new batches against everything accepted before, without reading that history's texts again.
+"""Problem 7: checking new batches against everything accepted before, without reprocessing that history.
 
-A store in a shared folder keeps, of each different text accepted, its winnowed fingerprints and signature bands, and
-Bloom filters over both that are cut into slices by fingerprint. A batch is fingerprinted; its fingerprints meet their slice's filters;
-only those that pass are looked up in the store; pairs that share one are verified on their exact sets of token runs;
-accepted rows are added to the store and to the filters.
+A store in a shared folder keeps the winnowed fingerprints and signature bands of each different text accepted, laid out in
+slices by fingerprint, and for each slice Bloom filters. The fingerprints of a batch meet their slice's filters; those that
+pass are looked up in the slices that they lie in, and in no others; pairs that share one and whose sketches agree are
+verified on their exact sets of token runs, for which only the files of the history that hold such a text are read; accepted
+rows are added to store and filters.
+
+A load is written under its own name and counts once its mark is there: readers take marked loads only, so a load that
+breaks off leaves nothing behind, and one that is repeated is not added twice.
 
 Fingerprints are hashes of ``LONG`` tokens in a row, winnowed by windows of ``WINDOW``, so two texts with LONG + WINDOW - 1
 tokens in a row in common share one. An edit inside a text costs at least nine differing runs of five on the two sides
@@ -24,7 +28,8 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import fingerprint as fp
@@ -40,15 +45,15 @@ BANDS, ROWS = 25, 5
 #: A slice's filter: bits, fingerprints it is made for (ten bits each), and hash functions.
 SLICE_BITS, SLICE_PRINTS, PROBES = 1 << 23, 800_000, 4
 
-PROFILE = "id long, c0 long, c1 long, sketch array<long>, prints array<long>"
+PROFILE = "id long, c0 long, c1 long, sketch array<long>, prints array<long>, file string"
 
 
 def profiles(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """``(id, c0, c1, sketch, prints)`` of each row with text."""
+    """``(id, c0, c1, sketch, prints, file)`` of each row with text; ``file`` is where it was read from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, files = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for own in fp.chunks(texts):
                 flat, counts = fp.token_hashes([texts[i] for i in own])
                 hashes, n = fp.runs(flat, counts)
@@ -57,14 +62,24 @@ def profiles(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
                 prints, m = fp.winnow_long(flat, counts, hashes, n, LONG, window)
                 prints, m = np.insert(prints.view(np.int64), np.repeat(np.cumsum(m), BANDS), bands.ravel()), m + BANDS
                 lists = lambda values, k: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(k))).astype(np.int32), values)
+                at = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(own)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists(bits.ravel(), np.full(len(own), bits.shape[1])), lists(prints, m)], names=["id", "c0", "c1", "sketch", "prints"]
+                    [ids.take(at), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists(bits.ravel(), np.full(len(own), bits.shape[1])), lists(prints, m), files.take(at)], names=["id", "c0", "c1", "sketch", "prints", "file"]
                 )
 
-    own = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
+    own = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _file(df).alias("file")).where("id is not null and text <> ''")
     return own.mapInArrow(work, PROFILE)
 
 
+def _file(df: DataFrame) -> Column:
+    """The file that a row is read from; null in tables that are not read from files."""
+    try:
+        df.select("_metadata.file_path").schema  # noqa: B018 - asks whether there is such a column
+        return F.col("_metadata.file_path")
+    except AnalysisException:
+        return F.lit(None).cast("string")
+
+
 def _places(prints: np.ndarray) -> np.ndarray:
     """The bits of each fingerprint in its slice's filter, one row per probe."""
     x = fp.mix(prints.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))
@@ -76,6 +91,35 @@ def _slice(column: str, slices: int):
     return F.pmod(F.xxhash64(column), F.lit(slices)).cast("int")
 
 
+TEXTS = "id long, c0 long, c1 long, sketch array<long>, file string"
+PRINTS = "print long, id long, bits binary, slice int"
+
+
+def _with_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints in the order of their slices, and after the last one of each slice a row with their filter."""
+    slice_, bits = None, None
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([slice_], pa.int32())], names=["print", "id", "bits", "slice"])
+
+    for batch in batches:
+        own, at = np.asarray(batch.column(2)), 0
+        for end in [*(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]:
+            if end == at:
+                continue
+            if slice_ is not None and slice_ != own[at]:
+                yield closed()
+                bits = None
+            if bits is None:
+                slice_, bits = int(own[at]), np.zeros(SLICE_BITS, dtype=bool)
+            part = batch.slice(at, end - at)
+            bits[_places(np.asarray(part.column(0))).ravel()] = True
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.nulls(end - at, pa.binary()), part.column(2)], names=["print", "id", "bits", "slice"])
+            at = end
+    if bits is not None:
+        yield closed()
+
+
 class FingerprintStore:
     """A persistent store of accepted texts. ``folder`` is shared by all executors; a store found there is opened, else
     one is made for about ``expected`` fingerprints (the filters of later loads lie beside the earlier ones)."""
@@ -83,50 +127,61 @@ class FingerprintStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, expected: int = SLICE_PRINTS):
         self.spark = spark
         self.folder = folder or f"{scratch_dir(spark)}/textloom/store-{uuid.uuid4().hex}"
-        try:
-            self.slices = spark.read.parquet(f"{self.folder}/meta").first()["slices"]
-        except Exception as error:  # noqa: BLE001 - Spark's own type for a missing path differs between its two front ends
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            self.slices = max(1, ceil(expected / SLICE_PRINTS))
-            spark.createDataFrame([(self.slices,)], "slices int").coalesce(1).write.parquet(f"{self.folder}/meta")
-        self.used = self._exists("texts")
-
-    def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self._system = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        made = [name for name in self._names("meta") if name.startswith("slices=")]
+        self.slices = int(made[0].partition("=")[2]) if made else max(1, ceil(expected / SLICE_PRINTS))
+        if not made:
+            self._system.mkdirs(self._path(f"meta/slices={self.slices}"))
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._system.listStatus(path)) if self._system.exists(path) else []
+
+    @property
+    def loads(self) -> list[str]:
+        """The names of the loads that were completed; one short name each."""
+        return self._names("done")
+
+    @property
+    def used(self) -> bool:
+        return bool(self.loads)
 
     @property
     def texts(self) -> DataFrame:
-        if not self.used:
-            return self.spark.createDataFrame([], PROFILE)
-        return self.spark.read.schema(PROFILE).parquet(f"{self.folder}/texts")
-
-    def add(self, profiled: DataFrame) -> None:
-        """Adds profiles, one per different text, and a filter row for each slice that they touch."""
-        first = not self.used
-        profiled.write.mode("append").parquet(f"{self.folder}/texts")
-        if first:  # what was written is read again, instead of a second shuffle of the whole history
-            profiled = self.spark.read.schema(PROFILE).parquet(f"{self.folder}/texts")
-        size = SLICE_BITS // 8
-
-        def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # a fingerprint of very many texts leaves each batch once
-                own = np.unique(np.asarray(batch.column(0).flatten()))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["print"])
-
-        def build(frame: pd.DataFrame) -> pd.DataFrame:
-            bits = np.zeros(SLICE_BITS, dtype=bool)
-            bits[_places(frame["print"].to_numpy()).ravel()] = True
-            return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "bits": [np.packbits(bits).tobytes()[:size]]})
-
-        prints = profiled.select("prints").mapInArrow(unique, "print long").withColumn("slice", _slice("print", self.slices))
-        prints.groupBy("slice").applyInPandas(build, "slice int, bits binary").write.mode("append").parquet(f"{self.folder}/filters")
-        self.used = True
+        loads = self.loads
+        if not loads:
+            return self.spark.createDataFrame([], TEXTS)
+        return self.spark.read.schema(TEXTS).parquet(*(f"{self.folder}/texts/{load}" for load in loads))
+
+    def _slices(self, wanted: list[int]) -> DataFrame:
+        """The fingerprint table of all completed loads; only the folders of the wanted slices are listed and read."""
+        own = None
+        for load in self.loads:
+            rows = self.spark.read.schema(PRINTS).parquet(f"{self.folder}/prints/{load}").where(F.col("slice").isin(wanted))
+            own = rows if own is None else own.unionByName(rows)
+        return own
+
+    def add(self, profiled: DataFrame, load: str) -> None:
+        """Adds profiles ``(id, c0, c1, sketch, prints, file)``, one per different text, under the load's name. Nothing
+        happens if that load is completed; what a broken one left is replaced."""
+        if load in self.loads:
+            return
+        profiled = profiled.select("id", "c0", "c1", "sketch", "file", "prints")
+        profiled.drop("prints").write.mode("overwrite").parquet(f"{self.folder}/texts/{load}")
+        rows = profiled.select(F.explode("prints").alias("print"), "id").withColumn("slice", _slice("print", self.slices))
+        # a slice with a fingerprint of very many texts is split over several tasks, each with a filter of its own
+        laid = rows.hint("rebalance", "slice").sortWithinPartitions("slice", "print").mapInArrow(_with_filters, PRINTS)
+        laid.write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/prints/{load}")
+        self._system.mkdirs(self._path(f"done/{load}"))
 
     def known_prints(self, prints: DataFrame) -> DataFrame:
-        """The fingerprints of ``prints(print)`` that a filter lets pass; each slice meets its own filters only."""
-        filters = self.spark.read.schema("slice int, bits binary").parquet(f"{self.folder}/filters")
+        """``(print, slice)`` of the fingerprints of ``prints(print)`` that a filter lets pass; each slice meets its own
+        filters only, and only slices with a fingerprint to look up are read."""
+        asked = materialize(prints.select("print").distinct().withColumn("slice", _slice("print", self.slices)), "asked")
+        filters = self._slices(self._touched(asked)).where("bits is not null").select("slice", "bits")
 
         def screen(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             values = own["print"].to_numpy()
@@ -136,10 +191,18 @@ class FingerprintStore:
                 for raw in held["bits"]:
                     bits = np.frombuffer(raw, dtype=np.uint8)
                     found |= ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-            return pd.DataFrame({"print": values[found]})
+            return pd.DataFrame({"print": values[found], "slice": own["slice"].to_numpy()[found]})
 
-        asked = prints.select("print").distinct().withColumn("slice", _slice("print", self.slices))
-        return asked.groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(screen, "print long")
+        return asked.groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(screen, "print long, slice int")
+
+    def _touched(self, prints: DataFrame) -> list[int]:
+        """The numbers of the slices that fingerprints lie in: as many as the store has slices at most."""
+        return [r["slice"] for r in prints.select("slice").distinct().collect()]
+
+    def holders(self, known: DataFrame) -> DataFrame:
+        """``(print, id, sketch)``: stored texts that have one of the fingerprints ``known(print, slice)``."""
+        rows = self._slices(self._touched(known)).where("print is not null").select("print", "id")
+        return join_checked(rows, known.select("print"), "print").join(self.texts.select("id", "sketch"), "id")
 
 
 def _exploded(profiled: DataFrame) -> DataFrame:
@@ -165,6 +228,25 @@ def _sets(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return run_sets(join_checked(texts, wanted, "id", "left_semi"), "id", "text").dropDuplicates(["id"])
 
 
+#: Files of the history that one verification names at most; beyond, all files are looked through.
+MOST_FILES = 10_000
+#: A table of earlier texts and its key.
+Source = tuple[DataFrame, str]
+
+
+def _past_texts(store: FingerprintStore, sources: list[Source], pairs: DataFrame, text: str) -> DataFrame:
+    """``(id, text)`` of earlier texts, read from no other files than those that hold a text of ``pairs.a``."""
+    asked = materialize(pairs.select(F.col("a").alias("id")).distinct(), "askedtexts")
+    rows = join_checked(store.texts.select("id", "file"), asked, "id", "left_semi").select("file").distinct().limit(MOST_FILES + 1).collect()
+    names = [r["file"] for r in rows]
+    out = store.spark.createDataFrame([], "id long, text string")
+    for table, key in sources:
+        if len(names) <= MOST_FILES and None not in names:
+            table = table.where(_file(table).isin(names))
+        out = out.unionByName(table.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
+    return out
+
+
 def first_wins(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Ids refused by a greedy pass over links ``(a, b)``, a before b: b goes if some a that was kept is linked to it.
 
@@ -183,10 +265,12 @@ def first_wins(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"links still open after {rounds} rounds")
 
 
-def load_history(store: FingerprintStore, history: DataFrame, key: str, text: str) -> None:
+def load_history(store: FingerprintStore, history: DataFrame, key: str, text: str, load: str = "history") -> None:
     """Adds all different texts of ``history`` to the store, each under its least id."""
+    if load in store.loads:
+        return
     profiled = materialize(profiles(history, key, text), "profiles")
-    store.add(distinct_texts(profiled))
+    store.add(distinct_texts(profiled), load)
 
 
 def distinct_texts(profiled: DataFrame) -> DataFrame:
@@ -194,28 +278,30 @@ def distinct_texts(profiled: DataFrame) -> DataFrame:
     return profiled.join(reps, "id", "left_semi").dropDuplicates(["id"])
 
 
-def ingest(store: FingerprintStore, batch: DataFrame, history: DataFrame, key: str, text: str, order: list[str], history_key: str, threshold: float = 0.8) -> DataFrame:
+def ingest(store: FingerprintStore, batch: DataFrame, sources: list[Source], key: str, text: str, order: list[str], load: str, threshold: float = 0.8) -> DataFrame:
     """Takes the rows of ``batch`` in ``order`` and gives ``(id, accepted, of)``, one row per row; ``of`` is the stored
-    text that refused it, null if another row of the batch did. Accepted rows are in the store afterwards.
+    text that refused it, null if another row of the batch did. Accepted rows are in the store afterwards, under ``load``;
+    a load that the store has already is refused, as its own rows would meet themselves.
 
-    ``history`` holds the texts of what the store has, for verification of the few pairs that come so far; ids of batch
-    and history must not meet. Rows without text are accepted and not stored. Of equal texts in a batch the first one
+    ``sources`` hold the texts of what the store has, for verification of the few pairs that come so far; ids of batch
+    and sources must not meet. Rows without text are accepted and not stored. Of equal texts in a batch the first one
     stands for all, and the others are refused. Ties in ``order`` are broken by the key.
     """
-    ordered = batch.select(F.col(key).cast("long").alias("id"), F.struct(*(F.col(c) for c in order), F.col(key).cast("long").alias("_id")).alias("ord"), F.col(text).alias("text"))
-    profiled = materialize(profiles(batch, key, text).join(ordered.select("id", "ord"), "id"), "batch")
+    if load in store.loads:
+        raise ValueError(f"load {load} is in the store already")
+    ordered = batch.select(F.col(key).cast("long").alias("id"), F.struct(*(F.col(c) for c in order), F.col(key).cast("long").alias("_id")).alias("ord"))
+    texts = batch.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    profiled = materialize(profiles(batch, key, text).join(ordered, "id"), "batch")
     first = profiled.groupBy("c0", "c1").agg(F.min_by("id", "ord").alias("id")).select("id")
     reps = materialize(profiled.join(first, "id", "left_semi"), "firsts")
-    texts = ordered.select("id", "text")
 
     refused = store.spark.createDataFrame([], "id long, of long")
     if store.used:
         known = materialize(store.known_prints(_exploded(reps)), "known")
-        held = materialize(join_checked(_exploded(store.texts), known, "print"), "held")
-        new = join_checked(_exploded(reps), known, "print", "left_semi")
+        held = materialize(store.holders(known), "held")
+        new = join_checked(_exploded(reps), known.select("print"), "print", "left_semi")
         pairs = materialize(sharing(held, new), "pairs")
-        past = history.select(F.col(history_key).cast("long").alias("id"), F.col(text).alias("text"))
-        found = verified(pairs, _sets(past, pairs, "a"), _sets(texts, pairs, "b"), threshold)
+        found = verified(pairs, _sets(_past_texts(store, sources, pairs, text), pairs, "a"), _sets(texts, pairs, "b"), threshold)
         refused = materialize(found.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("of")), "refused")
 
     fresh = materialize(reps.join(refused, "id", "left_anti"), "fresh")
@@ -226,8 +312,29 @@ def ingest(store: FingerprintStore, batch: DataFrame, history: DataFrame, key: s
     sets = materialize(_sets(texts, inside.select("a").unionByName(inside.select(F.col("b").alias("a"))), "a"), "sets")
     later = first_wins(verified(inside, sets, sets, threshold))
     accepted = materialize(fresh.join(later, "id", "left_anti"), "accepted")
-    store.add(accepted.select("id", "c0", "c1", "sketch", "prints"))
+    store.add(accepted, load)
 
     lost = profiled.select("id").join(accepted.select("id"), "id", "left_anti").withColumn("lost", F.lit(True))
     by = profiled.select("id", "c0", "c1").join(reps.select("c0", "c1", F.col("id").alias("rep")), ["c0", "c1"]).join(refused.select(F.col("id").alias("rep"), "of"), "rep").select("id", "of")
     return ordered.select("id").join(lost, "id", "left").join(by, "id", "left").select("id", F.col("lost").isNull().alias("accepted"), "of")
+
+
+#: Batches that may wait at once.
+MOST_BATCHES = 100_000
+
+
+def take_batches(spark: SparkSession, folder: str, batches: DataFrame, number: str, sources: list[Source], key: str, text: str, at_once: int) -> DataFrame:
+    """Takes numbered batches in their order, ``at_once`` numbers in each run, and gives ``(id, accepted, of)`` of all rows.
+    Each run opens the store again from its folder, as a service does that takes what is waiting; rows are held against
+    earlier accepted ones only, so the result does not depend on ``at_once``. Rows without a number come first."""
+    numbers = [r[0] for r in batches.select(number).distinct().orderBy(F.asc_nulls_first(number)).limit(MOST_BATCHES + 1).collect()]
+    if len(numbers) > MOST_BATCHES:
+        raise ValueError(f"more than {MOST_BATCHES} batches are waiting")
+    out = spark.createDataFrame([], "id long, accepted boolean, of long")
+    for i in range(0, len(numbers), at_once):
+        own = numbers[i : i + at_once]
+        chosen = F.col(number).isin([n for n in own if n is not None]) | (F.col(number).isNull() & F.lit(None in own))
+        rows = batches.where(F.coalesce(chosen, F.lit(None in own)))
+        done = ingest(FingerprintStore(spark, folder), rows, [*sources, (batches, key)], key, text, [number], f"run-{i}")
+        out = out.unionByName(materialize(done, "decisions"))
+    return out
