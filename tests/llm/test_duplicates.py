@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import fingerprint as fp
 from textloom.llm import history, neardup
+from textloom.session import materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -103,10 +104,28 @@ def _union(parent, pairs):
     return {x: root(x) for x in parent}
 
 
-def test_hot_copies_are_a_star(spark):
-    df = spark.createDataFrame([(i, "one two three four five six") for i in range(30)], "key long, code string")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "key", "code", star=10).collect()}
-    assert got == {(0, i) for i in range(1, 30)}
+def test_copies_in_blocks_and_in_bounded_room(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(i, "one two three four five six") for i in range(30)] + [(100 + i, near) for i in range(5)] + [(200 + i, near + " more") for i in range(4)]
+    df = spark.createDataFrame(rows, "key long, code string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "key", "code", block=3).collect()}
+    assert got == {(a, b) for a, s in rows for b, t in rows if a < b and alike(s, t)}
+    found, members = neardup.links(df, "key", "code")
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(100, 200)] and members.count() == len(rows)
+
+
+def test_groups_of_a_band_that_its_ends_do_not_join(spark):
+    """A chain of texts, each like the next one only, and other texts in the same blocks."""
+    words = [f"w{i}" for i in range(300)]
+    rows, own = [], words
+    for i in range(12):
+        rows.append((i * 7 % 12, " ".join(own)))
+        own = own[:20 * i] + [f"z{i}x{k}" for k in range(20)] + own[20 * i + 20 :]
+    df = spark.createDataFrame(rows, "key long, code string")
+    text = dict(rows)
+    want = _union({i: i for i in text}, {(a, b) for a in text for b in text if a < b and alike(text[a], text[b])})
+    got = {r["id"]: r["group_id"] for r in neardup.near_duplicate_groups(df, "key", "code", block=2).collect()}
+    assert {frozenset(i for i in got if got[i] == g) for g in got.values()} == {frozenset(i for i in want if want[i] == g) for g in want.values()}
 
 
 def test_empty_tables(spark):
@@ -162,7 +181,7 @@ def test_batches_one_by_one_and_at_once(spark, tmp_path):
 def test_a_broken_load_leaves_nothing(spark, tmp_path):
     store = history.FingerprintStore(spark, f"file://{tmp_path}/s")
     df = spark.createDataFrame(list(enumerate(texts(9, 10))), "file_id long, code string")
-    profiled = history.distinct_texts(history.profiles(df, "file_id", "code"))
+    profiled = history.distinct_texts(materialize(history.profiles(df, "file_id", "code"), "profiles"))
     store.add(profiled, "a")
     shutil.rmtree(f"{tmp_path}/s/done/a")  # as if it had broken off before its mark
     again = history.FingerprintStore(spark, f"file://{tmp_path}/s")
@@ -179,7 +198,7 @@ def test_filters_let_all_known_prints_pass(spark, tmp_path):
     own = history.profiles(df, "file_id", "code").select(F.explode("prints").alias("print"))
     known = store.known_prints(own)
     assert store.slices == 3 and known.count() == own.distinct().count()
-    assert store.holders(known).select("print", "id").distinct().count() == history.distinct_texts(history.profiles(df, "file_id", "code")).select("id", F.explode("prints")).distinct().count()
+    assert store.holders(known).select("print", "id").distinct().count() == history.distinct_texts(materialize(history.profiles(df, "file_id", "code"), "profiles")).select("id", F.explode("prints")).distinct().count()
     other = spark.range(5000).select(F.xxhash64("id").alias("print"))
     assert store.known_prints(other).count() < 250
 

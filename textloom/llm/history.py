@@ -49,7 +49,8 @@ PROFILE = "id long, c0 long, c1 long, sketch array<long>, prints array<long>, fi
 
 
 def profiles(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """``(id, c0, c1, sketch, prints, file)`` of each row with text; ``file`` is where it was read from."""
+    """``(id, c0, c1, sketch, prints, file, row)`` of each row with text; ``file`` is where it was read from, ``row`` names
+    the row once the table is written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +69,7 @@ def profiles(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
                 )
 
     own = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _file(df).alias("file")).where("id is not null and text <> ''")
-    return own.mapInArrow(work, PROFILE)
+    return own.mapInArrow(work, PROFILE).withColumn("row", F.monotonically_increasing_id())
 
 
 def _file(df: DataFrame) -> Column:
@@ -92,32 +93,20 @@ def _slice(column: str, slices: int):
 
 
 TEXTS = "id long, c0 long, c1 long, sketch array<long>, file string"
-PRINTS = "print long, id long, bits binary, slice int"
+PRINTS, FILTERS = "print long, id long, slice int", "bits binary, slice int"
 
 
-def _with_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints in the order of their slices, and after the last one of each slice a row with their filter."""
-    slice_, bits = None, None
-
-    def closed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([slice_], pa.int32())], names=["print", "id", "bits", "slice"])
-
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter for each slice of ``(print, slice)`` that a task reads; a file of the table holds one slice, so a task has
+    as many filters in hand as it has files."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        own, at = np.asarray(batch.column(2)), 0
-        for end in [*(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]:
-            if end == at:
-                continue
-            if slice_ is not None and slice_ != own[at]:
-                yield closed()
-                bits = None
-            if bits is None:
-                slice_, bits = int(own[at]), np.zeros(SLICE_BITS, dtype=bool)
-            part = batch.slice(at, end - at)
-            bits[_places(np.asarray(part.column(0))).ravel()] = True
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.nulls(end - at, pa.binary()), part.column(2)], names=["print", "id", "bits", "slice"])
-            at = end
-    if bits is not None:
-        yield closed()
+        prints, slices = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for number in np.unique(slices).tolist():
+            bits = held.setdefault(number, np.zeros(SLICE_BITS, dtype=bool))
+            bits[_places(prints[slices == number]).ravel()] = True
+    for number, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([number], pa.int32())], names=["bits", "slice"])
 
 
 class FingerprintStore:
@@ -156,12 +145,12 @@ class FingerprintStore:
             return self.spark.createDataFrame([], TEXTS)
         return self.spark.read.schema(TEXTS).parquet(*(f"{self.folder}/texts/{load}" for load in loads))
 
-    def _slices(self, wanted: list[int]) -> DataFrame:
-        """The fingerprint table of all completed loads; only the folders of the wanted slices are listed and read."""
-        own = None
+    def _slices(self, table: str, schema: str, wanted: list[int]) -> DataFrame:
+        """A table of all completed loads; only the folders of the wanted slices are listed and read."""
+        own = self.spark.createDataFrame([], schema)
         for load in self.loads:
-            rows = self.spark.read.schema(PRINTS).parquet(f"{self.folder}/prints/{load}").where(F.col("slice").isin(wanted))
-            own = rows if own is None else own.unionByName(rows)
+            rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/{load}")
+            own = own.unionByName(rows.where(F.col("slice").isin(wanted)))
         return own
 
     def add(self, profiled: DataFrame, load: str) -> None:
@@ -169,19 +158,20 @@ class FingerprintStore:
         happens if that load is completed; what a broken one left is replaced."""
         if load in self.loads:
             return
-        profiled = profiled.select("id", "c0", "c1", "sketch", "file", "prints")
-        profiled.drop("prints").write.mode("overwrite").parquet(f"{self.folder}/texts/{load}")
+        profiled.select("id", "c0", "c1", "sketch", "file").write.mode("overwrite").parquet(f"{self.folder}/texts/{load}")
         rows = profiled.select(F.explode("prints").alias("print"), "id").withColumn("slice", _slice("print", self.slices))
-        # a slice with a fingerprint of very many texts is split over several tasks, each with a filter of its own
-        laid = rows.hint("rebalance", "slice").sortWithinPartitions("slice", "print").mapInArrow(_with_filters, PRINTS)
+        # a slice with a fingerprint of very many texts is split over several tasks, each with a file of its own
+        laid = rows.hint("rebalance", "slice").sortWithinPartitions("slice", "print")
         laid.write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/prints/{load}")
+        held = self.spark.read.schema(PRINTS).parquet(f"{self.folder}/prints/{load}").select("print", "slice")
+        held.mapInArrow(_filters, FILTERS).write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/filters/{load}")
         self._system.mkdirs(self._path(f"done/{load}"))
 
     def known_prints(self, prints: DataFrame) -> DataFrame:
         """``(print, slice)`` of the fingerprints of ``prints(print)`` that a filter lets pass; each slice meets its own
         filters only, and only slices with a fingerprint to look up are read."""
         asked = materialize(prints.select("print").distinct().withColumn("slice", _slice("print", self.slices)), "asked")
-        filters = self._slices(self._touched(asked)).where("bits is not null").select("slice", "bits")
+        filters = self._slices("filters", FILTERS, self._touched(asked))
 
         def screen(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             values = own["print"].to_numpy()
@@ -201,7 +191,7 @@ class FingerprintStore:
 
     def holders(self, known: DataFrame) -> DataFrame:
         """``(print, id, sketch)``: stored texts that have one of the fingerprints ``known(print, slice)``."""
-        rows = self._slices(self._touched(known)).where("print is not null").select("print", "id")
+        rows = self._slices("prints", PRINTS, self._touched(known)).select("print", "id")
         return join_checked(rows, known.select("print"), "print").join(self.texts.select("id", "sketch"), "id")
 
 
@@ -274,8 +264,10 @@ def load_history(store: FingerprintStore, history: DataFrame, key: str, text: st
 
 
 def distinct_texts(profiled: DataFrame) -> DataFrame:
-    reps = profiled.groupBy("c0", "c1").agg(F.min("id").alias("id")).select("id")
-    return profiled.join(reps, "id", "left_semi").dropDuplicates(["id"])
+    """One row of each different text, the one with the least id. A row delivered twice is taken once, and only names of
+    rows are shuffled, not fingerprints. ``profiled`` must be a written table."""
+    first = profiled.groupBy("c0", "c1").agg(F.min(F.struct("id", "row")).alias("x")).select("x.row")
+    return join_checked(profiled, materialize(first, "firsts"), "row", "left_semi")
 
 
 def ingest(store: FingerprintStore, batch: DataFrame, sources: list[Source], key: str, text: str, order: list[str], load: str, threshold: float = 0.8) -> DataFrame:
@@ -292,8 +284,8 @@ def ingest(store: FingerprintStore, batch: DataFrame, sources: list[Source], key
     ordered = batch.select(F.col(key).cast("long").alias("id"), F.struct(*(F.col(c) for c in order), F.col(key).cast("long").alias("_id")).alias("ord"))
     texts = batch.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profiled = materialize(profiles(batch, key, text).join(ordered, "id"), "batch")
-    first = profiled.groupBy("c0", "c1").agg(F.min_by("id", "ord").alias("id")).select("id")
-    reps = materialize(profiled.join(first, "id", "left_semi"), "firsts")
+    first = profiled.groupBy("c0", "c1").agg(F.min_by("row", "ord").alias("row"))
+    reps = materialize(profiled.join(first.select("row"), "row", "left_semi"), "firsts")
 
     refused = store.spark.createDataFrame([], "id long, of long")
     if store.used:

@@ -21,6 +21,8 @@ from textloom.session import materialize
 CYCLE = 4096
 #: Hash ranges per source in which running sizes are added up; fixed, whatever the size of the data.
 RANGES = 512
+#: What a sum of whole bytes may fall short of a target that is no whole number.
+HALF_BYTE = 0.5
 
 
 @dataclass(frozen=True)
@@ -55,8 +57,16 @@ def allot(shares: list[Share], total: float) -> dict[str, float]:
     return given
 
 
+def cycle_of(sources: int, cycle: int = CYCLE) -> int:
+    """Blocks of a cycle that has room for so many sources: the asked number, or eight for each source."""
+    return max(cycle, 8 * sources)
+
+
 def cycle_counts(weights: dict[str, float], cycle: int = CYCLE) -> dict[str, int]:
-    """Whole blocks per cycle, by largest remainder; every source of positive weight has one at least."""
+    """Whole blocks per cycle, by largest remainder; every source of positive weight has one at least, so a cycle of fewer
+    blocks than sources is refused."""
+    if sum(w > 0 for w in weights.values()) > cycle:
+        raise ValueError(f"{cycle} blocks cannot hold {len(weights)} sources")
     total = sum(weights.values())
     if total <= 0:
         return {}
@@ -110,9 +120,10 @@ def shares(files: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("available", F.coalesce("available", zero)).withColumn("files", F.coalesce("files", zero)).withColumn("most", F.col("available") * F.greatest(F.coalesce("max_repeats", zero), zero))
 
 
-def short_classes(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """Classes that cannot reach their share of ``target_bytes`` however often ``max_repeats`` allows."""
-    return shares(files, targets).where(F.col("most") < F.col("target_share") * F.col("target_bytes"))
+def short_classes(mixed: DataFrame, files: DataFrame, targets: DataFrame, key: str = "file_id") -> DataFrame:
+    """Classes whose share the schedule did not reach: what was mixed of them is less than ``target_share`` of
+    ``target_bytes``, though every file of theirs was repeated as often as ``max_repeats`` allows."""
+    return report(mixed, files, targets, key).where(F.col("mixed_bytes") + HALF_BYTE < F.col("target_share") * F.col("target_bytes"))
 
 
 def _plan(files: DataFrame, targets: DataFrame) -> tuple[list[Share], dict[str, float], int]:
@@ -130,6 +141,7 @@ def mix(files: DataFrame, targets: DataFrame, key: str = "file_id", cycle: int =
     hash ranges per class, so that no class, however large, is sorted in one task. Empty inputs give no rows.
     """
     own, given, total = _plan(files, targets)
+    cycle = cycle_of(sum(g > 0 for g in given.values()), cycle)
     counts = cycle_counts(given, cycle)
     spark = files.sparkSession
     if not counts:
@@ -164,5 +176,5 @@ def report(mixed: DataFrame, files: DataFrame, targets: DataFrame, key: str = "f
     return out.select(
         "class_key", "target_share", (F.col("mixed_bytes") / F.greatest(whole, F.lit(1))).alias("actual_share"), "mixed_bytes",
         F.coalesce("mixed_files", zero).alias("mixed_files"), "files", F.coalesce("repeats", zero).alias("repeats"), "max_repeats",
-        (F.col("most") < F.col("target_share") * F.col("target_bytes")).alias("short"),
+        (F.col("mixed_bytes") + HALF_BYTE < F.col("target_share") * F.col("target_bytes")).alias("short"), "target_bytes",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import budget, handwritten, history, leaks, mixing, neardup, packing, splits, subjects, syntax
+from textloom.llm.oracles import SQL
 from textloom.session import materialize
 
 
@@ -20,9 +21,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different texts, each by its least file; with ``p1_members`` they say all pairs, in bounded room."""
+    return neardup.links(_read(spark, folder, "code_files"), "file_id", "code")[0].select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each file with the least file that has the same tokens."""
+    sig = neardup.signatures(_read(spark, folder, "code_files"), "file_id", "code")
+    sig = materialize(sig.select("id", "c0", "c1"), "classes")
+    return sig.join(neardup.classes_of(sig), ["c0", "c1"]).select(F.col("id").alias("file_id"), F.col("rep").alias("same_as")).distinct()
+
+
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    groups = neardup.near_duplicate_groups(_read(spark, folder, "code_files"), "file_id", "code")
-    return groups.withColumnRenamed("id", "file_id")
+    return neardup.near_duplicate_groups(_read(spark, folder, "code_files"), "file_id", "code").withColumnRenamed("id", "file_id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,8 +52,10 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    files = mixing.class_sizes(_read(spark, folder, "code_files"))
-    return mixing.short_classes(files, _read(spark, folder, "mix_targets")).select("class_key")
+    """Classes that the schedule could not bring to their share."""
+    files = materialize(mixing.class_sizes(_read(spark, folder, "code_files")), "classed")
+    targets = _read(spark, folder, "mix_targets")
+    return mixing.short_classes(mixing.mix(files, targets), files, targets).select("class_key")
 
 
 def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,13 +1,16 @@
 """Problem 3: train, validation and test splits that keep related records together.
 
 Records are tied by any shared entity: the same project under another spelling, or projects joined by links. Projects
-are grouped by alternating large-star and small-star; a group's hashed id orders the groups, and the group's place in
-the running total of records, not the bare hash, picks its range. So the asked proportions hold to within one group.
+are grouped by alternating large-star and small-star, and the hash of a group's name picks a split by the range that it
+falls in. The ranges are fitted once so that the records, not the groups, have the asked proportions, whatever the sizes
+of groups; kept and handed in again, they leave every group where it is, however many new ones come.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
@@ -16,8 +19,18 @@ from textloom.session import materialize
 #: The relations that make two projects one.
 JOINING = ("rename", "transfer", "mirror", "fork")
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Hash ranges whose totals the driver adds up; a fixed number, whatever the size of the data.
-RANGES = 4096
+#: Steps in which ranges can end, and hash seeds of which the best one is taken: the bounds of what the driver adds up.
+STEPS, SEEDS = 4096, 16
+#: Spellings of one group beyond which their pairs are made in blocks.
+BLOCK = 2048
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """A hash seed, and for each split the step at which its range ends."""
+
+    seed: int
+    ends: tuple[tuple[str, int], ...]
 
 
 def project(repo: Column, host: str = "forge.example") -> Column:
@@ -42,50 +55,72 @@ def project_groups(repos: DataFrame, links: DataFrame, host: str = "forge.exampl
     return own.join(groups, own.project == groups.node, "left").select("project", F.coalesce("component", "project").alias("group"))
 
 
-def assign_splits(groups: DataFrame, weight: str, splits=SPLITS, seed: int = 0) -> DataFrame:
-    """``(group, split)`` from ``groups(group, <weight>)``, one row per group.
-
-    Groups lie on a line in the order of their hashes, each as long as its number of records; the middle of a group
-    decides, so each split has its share but for half of the groups at its ends. A group heavier than half of the
-    smallest split goes to the first, largest split before all others. Sums are taken in fixed hash ranges first.
-    """
-    names, shares = [s[0] for s in splits], [s[1] for s in splits]
-    total = groups.agg(F.sum(weight)).first()[0] or 0
-    if not total:
-        return groups.select("group", F.lit(names[0]).alias("split")).limit(0)
-    heavy = F.col(weight) > total * min(shares) / 2
-    code = F.xxhash64("group", F.lit(seed))
-    placed = groups.withColumn("code", code).withColumn("range", F.when(heavy, -1).otherwise(F.pmod(code, F.lit(RANGES))))
-    sums = {r["range"]: r["s"] for r in placed.groupBy("range").agg(F.sum(weight).alias("s")).collect()}  # at most RANGES + 1 rows
-    starts, run = [], 0
-    for r in range(-1, RANGES):
-        starts.append((r, run))
-        run += sums.get(r, 0)
-    base = groups.sparkSession.createDataFrame(starts, "range long, base long")
-    before = F.sum(weight).over(Window.partitionBy("range").orderBy("code", "group").rowsBetween(Window.unboundedPreceding, -1))
-    middle = (F.col("base") + F.coalesce(before, F.lit(0)) + F.col(weight) / 2) / F.lit(total)
-    split, edge = F.lit(names[-1]), 1.0
-    for name, share in reversed(list(zip(names, shares))[:-1]):
-        edge = sum(shares[: names.index(name) + 1])
-        split = F.when(middle < edge, name).otherwise(split)
-    chosen = placed.join(F.broadcast(base), "range").withColumn("split", split)
-    return chosen.select("group", F.when(F.col("range") < 0, names[0]).otherwise(F.col("split")).alias("split"))
-
-
-def split_records(records: DataFrame, links: DataFrame, key: str = "file_id", repo: str = "repo", splits=SPLITS, seed: int = 0, host: str = "forge.example") -> DataFrame:
-    """``(<key>, group, split)`` of every distinct key. A record without repository is a group of its own."""
+def _step(group: str, seed) -> Column:
+    return F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(STEPS)).cast("int")
+
+
+def fit_ranges(groups: DataFrame, weight: str, splits=SPLITS, seeds: int = SEEDS) -> Ranges:
+    """The ranges for ``groups(group, <weight>)``, one row per group: for each of some seeds every range ends where the
+    records so far come closest to what is asked, and the seed that misses the proportions least is taken. A group with a
+    third of all records so falls into a split that can hold it, if any can."""
+    steps = F.array(*(F.struct(F.lit(s).alias("seed"), _step("group", s).alias("step")) for s in range(seeds)))
+    sums = groups.select(F.explode(steps).alias("x"), F.col(weight).alias("w")).groupBy("x.seed", "x.step").agg(F.sum("w").alias("w"))
+    held = [[0] * STEPS for _ in range(seeds)]
+    for row in sums.collect():  # at most STEPS rows for each seed
+        held[row["seed"]][row["step"]] = row["w"]
+    total = sum(held[0])
+    best = None
+    for seed, own in enumerate(held):
+        run, upto = [0], 0.0
+        for w in own:
+            run.append(run[-1] + w)
+        ends, at, miss = [], 0, 0.0
+        for name, share in splits:
+            upto += share
+            end = STEPS if len(ends) == len(splits) - 1 else min(range(at, STEPS + 1), key=lambda i, t=upto: (abs(run[i] - t * total), abs(i - t * STEPS)))
+            miss = max(miss, abs(run[end] - run[at] - share * total))
+            ends.append((name, end))
+            at = end
+        if best is None or miss < best[0]:
+            best = (miss, Ranges(seed, tuple(ends)))
+    return best[1]
+
+
+def split_of(ranges: Ranges) -> Column:
+    """The split of a ``group``: the range that its hash falls in; nothing but its name and the ranges decides."""
+    step = _step("group", ranges.seed)
+    return F.coalesce(*(F.when(step < end, name) for name, end in ranges.ends))
+
+
+def grouped(records: DataFrame, links: DataFrame, key: str = "file_id", repo: str = "repo", host: str = "forge.example") -> DataFrame:
+    """``(<key>, group)`` of every distinct key. A record without repository is a group of its own."""
     own = records.select(F.col(key), project(F.col(repo), host).alias("project")).dropDuplicates([key])
     groups = project_groups(records.select(F.col(repo).alias("repo")), links, host)
     own = own.join(groups, "project", "left").withColumn("group", F.coalesce("group", F.concat(F.lit("\x00"), F.col(key).cast("string"))))
-    own = materialize(own.select(key, "group"), "grouped")
-    sizes = materialize(own.groupBy("group").agg(F.count("*").alias("records")), "sizes")
-    return own.join(assign_splits(sizes, "records", splits, seed), "group").select(key, "group", "split")
+    return own.select(key, "group")
+
+
+def sizes_of(own: DataFrame) -> DataFrame:
+    return own.groupBy("group").agg(F.count("*").alias("records"))
+
+
+def split_records(records: DataFrame, links: DataFrame, key: str = "file_id", repo: str = "repo", splits=SPLITS, host: str = "forge.example", ranges: Ranges | None = None) -> DataFrame:
+    """``(<key>, group, split)`` of every distinct key; ``ranges`` of an earlier load keep its groups where they are."""
+    own = materialize(grouped(records, links, key, repo, host), "grouped")
+    ranges = ranges or fit_ranges(materialize(sizes_of(own), "sizes"), "records", splits)
+    return own.select(key, "group", split_of(ranges).alias("split"))
 
 
-def spellings_together(records: DataFrame, links: DataFrame, repo: str = "repo", host: str = "forge.example") -> DataFrame:
-    """``(a, b)``, a before b in code-point order: different written values of ``repo`` that must share a split."""
-    written = records.select(F.col(repo).alias("repo")).where("repo is not null").distinct().withColumn("project", project(F.col("repo"), host))
+def spellings_together(records: DataFrame, links: DataFrame, repo: str = "repo", key: str = "file_id", host: str = "forge.example", splits=SPLITS, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, a before b in code-point order: different written values of ``repo`` whose records must share a split,
+    and do: each value takes the group and the split of its records. A group of very many values is cut into blocks."""
+    own = records.select(F.col(repo).alias("repo")).where("repo is not null")
+    written = own.groupBy("repo").agg(F.count("*").alias("records")).withColumn("project", project(F.col("repo"), host))
     groups = project_groups(written, links, host)
-    named = materialize(written.join(groups, "project").select("repo", "group"), "spellings")
-    left, right = named.select(F.col("repo").alias("a"), "group"), named.select(F.col("repo").alias("b"), "group")
-    return left.join(right, "group").where("a < b").select("a", "b")
+    named = materialize(written.join(groups, "project").select("repo", "group", "records"), "spellings")
+    sizes = materialize(named.groupBy("group").agg(F.sum("records").alias("records"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")), "sizes")
+    placed = named.select("repo", "group", split_of(fit_ranges(sizes, "records", splits)).alias("split"))
+    met = placed.join(sizes.where("n > 1").select("group", "blocks"), "group")
+    left = met.select(F.col("repo").alias("a"), "group", "split", F.pmod(F.xxhash64("repo"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    right = met.select(F.col("repo").alias("b"), "group", "split", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["group", "split", "block"]).where("a < b").select("a", "b")
