@@ -55,14 +55,37 @@ def test_only_unseen_contents_are_encoded_and_deltas_are_signed(spark):
 def test_wrong_lengths(spark):
     files = spark.createDataFrame([(i, "a b c d e f g") for i in range(1, 8)] + [(8, None), (9, ""), (1, "a b c d e f g")], "file_id long, code string")
     index = spark.createDataFrame([(1, 10), (2, None), (3, 0), (4, 4), (5, 21), (6, 20), (7, 5), (8, None), (9, 0), (99, None), (1, 10)], "file_id long, length int")
-    assert sorted(r["file_id"] for r in budget.wrong_lengths(index, files).collect()) == [2, 3, 4, 5]
+    assert sorted(r["file_id"] for r in budget.wrong_lengths(index, [files.where("file_id < 4"), files]).collect()) == [2, 3, 4, 5]
 
 
 def test_labels(spark):
     df = spark.createDataFrame([("en-GB",), (" ES",), ("Python",), ("typescriptreact",), (None,), ("",), ("react",)], "l string")
     assert [r[0] for r in df.select(budget.label(F.col("l"))).collect()] == ["en", "es", "py", "tsx", None, None, "react"]
-    texts = spark.createDataFrame([("the cat and the dog is in it", "fr"), ("cuando cambia el menú la vista de la mesa", None), ("xyz", "FR")], "t string, l string")
-    assert [r[0] for r in texts.select(budget.text_language(F.col("t"), F.col("l"))).collect()] == ["en", "es", "fr"]
+
+
+def test_languages_learnt_from_labels(spark):
+    words = {"en": "the of and to in is that for it with", "es": "el la los de del que y en un una", "fr": "le les des du de et un une dans que", "de": "der die und das ist nicht ein mit von zu"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(30)) + f" n{i}", k) for i, k in enumerate(rng.choice(list(words)) for _ in range(400))]
+    said = [(i, t, rng.choice(list(words)) if i % 10 == 0 else k.upper()) for i, t, k in rows] + [(900, None, "en"), (901, "", "EN-gb"), (902, "xyz", "fr"), (903, "the of and is it", None)]
+    df = spark.createDataFrame(said, "id long, t string, l string")
+    names, weights = budget.language_weights(df, "t", "l")
+    assert names == sorted(words)
+    got = {r["id"]: r["g"] for r in df.select("id", budget.text_language(F.col("t"), F.col("l"), names, weights).alias("g")).collect()}
+    assert sum(got[i] == k for i, _, k in rows) >= 396 and got[900] == got[901] == "en" and got[902] == "fr" and got[903] == "en"
+    assert budget.language_weights(df.limit(0), "t", "l") == ([], {})
+
+
+def test_a_budget_over_loads(spark):
+    kind = "id long, text string, at int, source string"
+    counted = []
+    own = budget.Budget("id", "text", ["source"], "at", fake(counted))
+    first = own.load(spark.createDataFrame([(1, "a b", 1, "x"), (2, "c", 1, "x"), (3, None, 1, "y"), (1, "a", 0, "x")], kind))
+    second = own.load(spark.createDataFrame([(2, "c d e", 2, "z"), (4, "a b", 2, "y"), (3, "", 3, "y")], kind))
+    rows = lambda d: sorted((r["source"], r["docs"], r["tokens"]) for r in d.collect())
+    assert rows(first) == [("x", 2, 3)] and rows(second) == [("x", -1, -1), ("y", 1, 2), ("z", 1, 3)] and counted == [3, 1]
+    assert rows(own.remove(spark.createDataFrame([(1,), (9,)], "id long"))) == [("x", -1, -2)] and rows(own.cube) == [("y", 1, 2), ("z", 1, 3)]
+    assert sorted(r["id"] for r in own.state.collect()) == [2, 3, 4]
 
 
 def _leak_rows():

@@ -35,7 +35,7 @@ class _Hashes(dict):
     """Token to 64-bit hash; emptied when it grows past a fixed number of entries, which changes no result."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
         return value
@@ -184,7 +184,7 @@ def text_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(texts: list[str | None], chars: int = 2_000_000):
+def chunks(texts: list[str | None], chars: int = 1_000_000):
     """Slices of positions of texts that are neither null nor empty, cut when they hold ``chars`` characters."""
     own, held = [], 0
     for i, text in enumerate(texts):

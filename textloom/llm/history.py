@@ -97,16 +97,20 @@ PRINTS, FILTERS = "print long, id long, slice int", "bits binary, slice int"
 
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A filter for each slice of ``(print, slice)`` that a task reads; a file of the table holds one slice, so a task has
-    as many filters in hand as it has files."""
-    held: dict[int, np.ndarray] = {}
+    """A filter for each slice of ``(print, slice)`` that a task reads. A file of the table holds one slice, so a filter is
+    given out when the next slice begins; a slice that comes again just has another one."""
+    now, bits = None, np.zeros(SLICE_BITS, dtype=bool)
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([now], pa.int32())], names=["bits", "slice"])
     for batch in batches:
         prints, slices = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for number in np.unique(slices).tolist():
-            bits = held.setdefault(number, np.zeros(SLICE_BITS, dtype=bool))
+            if number != now:
+                if now is not None:
+                    yield made()
+                now, bits = number, np.zeros(SLICE_BITS, dtype=bool)
             bits[_places(prints[slices == number]).ravel()] = True
-    for number, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([number], pa.int32())], names=["bits", "slice"])
+    if now is not None:
+        yield made()
 
 
 class FingerprintStore:

@@ -36,7 +36,7 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

@@ -62,7 +62,7 @@ _ALL = "(SELECT DISTINCT file_id AS id, code FROM code_files WHERE code <> '' UN
 P7_FOUND = (
     f"WITH RECURSIVE {_sets(_ALL)}, {_ALIKE}, i AS (SELECT new_id, row_number() OVER (ORDER BY batch_no, new_id) AS k FROM incoming_files), e AS (SELECT a AS x, b AS y FROM like_ UNION ALL SELECT b, a FROM like_), "
     "m AS (SELECT i.new_id, i.k, bool_or(f.k IS NULL) AS old, list(f.new_id) FILTER (WHERE f.k < i.k) AS earlier FROM i JOIN e ON e.x = i.new_id LEFT JOIN i f ON f.new_id = e.y GROUP BY i.new_id, i.k), "
-    "o AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM m), walk(n, refused) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN old OR len(list_filter(coalesce(earlier, []), lambda x: NOT list_contains(walk.refused, x))) > 0 THEN list_append(walk.refused, o.new_id) ELSE walk.refused END FROM walk JOIN o ON o.n = walk.n + 1) "
+    "y AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM m), walk(n, refused) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT y.n, CASE WHEN old OR len(list_filter(coalesce(earlier, []), lambda x: NOT list_contains(walk.refused, x))) > 0 THEN list_append(walk.refused, y.new_id) ELSE walk.refused END FROM walk JOIN y ON y.n = walk.n + 1) "
     "SELECT unnest(refused) AS new_id FROM (SELECT refused FROM walk ORDER BY n DESC LIMIT 1)"
 )
 

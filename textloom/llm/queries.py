@@ -70,24 +70,45 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.wrong_lengths(_read(spark, folder, "doc_index"), _read(spark, folder, "code_files")).select("file_id")
+    """``code_files`` comes in two loads, earlier and later deliveries; the second encodes what the first did not hold."""
+    loads = budget.earlier_and_later(_read(spark, folder, "code_files"), "ingested_at")
+    return budget.wrong_lengths(_read(spark, folder, "doc_index"), list(loads)).select("file_id")
 
 
-def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable tokens by domain, source, language and framework: code by the pre-tokenizer, texts by a public tokenizer."""
+#: What token sums are told by.
+DIMS = ["domain", "source", "lang", "framework"]
+
+
+def _budgets(spark: SparkSession, folder: str) -> tuple[budget.Budget, budget.Budget, list[DataFrame]]:
+    """Budgets of files, by the pre-tokenizer, and of texts, by a public tokenizer, after two loads each; and the deltas of
+    the second loads."""
     files, docs = _read(spark, folder, "code_files"), _read(spark, folder, "documents")
-    dims = ["domain", "source", "lang", "framework"]
-    code = files.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("code", "lang", "framework", "path", "source")))
-    code = code.select("file_id", "code", F.lit("code").alias("domain"), "source", budget.code_language(F.col("lang"), F.col("path")).alias("lang"), budget.label(F.col("framework")).alias("framework"))
     index = _read(spark, folder, "doc_index").groupBy("file_id").agg(F.max(budget.label(F.col("framework"))).alias("indexed"))
-    code = code.join(index, "file_id", "left").withColumn("framework", F.coalesce("framework", "indexed")).drop("indexed")
-    texts = docs.select("text", F.lit("text").alias("domain"), "source", budget.text_language(F.col("text"), F.col("lang")).alias("lang"), F.lit(None).cast("string").alias("framework"))
-    cube = None
-    for part, text, tokenizer in ((code, "code", budget.pieces_tokenizer()), (texts, "text", budget.file_tokenizer())):
-        counts = materialize(budget.update_counts(None, part, text, tokenizer), "counts")
-        delta = budget.signed_delta(None, budget.with_tokens(part.where(F.col(text) != ""), text, counts, tokenizer), dims)
-        cube = budget.apply_delta(cube, delta, dims)
-    return budget.roll_up(cube, dims)
+    indexed = lambda state: state.join(index, "file_id", "left").withColumn("framework", F.coalesce("framework", "indexed")).drop("indexed")
+    code = files.select("file_id", "code", "ingested_at", F.lit("code").alias("domain"), "source", budget.code_language(F.col("lang"), F.col("path")).alias("lang"), budget.label(F.col("framework")).alias("framework"))
+    languages = budget.language_weights(docs, "text", "lang")
+    texts = docs.select("doc_id", "text", "created_at", F.lit("text").alias("domain"), "source", budget.text_language(F.col("text"), F.col("lang"), *languages).alias("lang"), F.lit(None).cast("string").alias("framework"))
+    own = budget.Budget("file_id", "code", DIMS, "ingested_at", budget.pieces_tokenizer(), indexed), budget.Budget("doc_id", "text", DIMS, "created_at", budget.file_tokenizer())
+    deltas = []
+    for one, table in zip(own, (code, texts)):
+        first, second = budget.earlier_and_later(table, one.at)
+        one.load(first)
+        deltas.append(one.load(second))
+    return *own, deltas
+
+
+def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Usable tokens by domain, source, language and framework, and all sums over these."""
+    code, texts, _ = _budgets(spark, folder)
+    return budget.roll_up(code.cube.unionByName(texts.cube), DIMS)
+
+
+def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What later deliveries changed, and what leaves with the held-out files: signed sums."""
+    code, _, deltas = _budgets(spark, folder)
+    gone = code.remove(_read(spark, folder, "doc_index").where("hold").select("file_id"))
+    parts = [d.withColumn("change", F.lit(name)) for d, name in ((deltas[0], "later files"), (deltas[1], "later texts"), (gone, "held-out files"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p4_parsed(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,51 +2,24 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public tokenizers lie, unless the environment says otherwise.
-FOLDER = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
-DEFAULT = f"{FOLDER}/byte_bpe_50k.tiktoken"
+from textloom.functions.tokens import DEFAULT, FOLDER, FRAME, PIECES, codec, count_pieces
 
-#: Fixed value: how the byte-level vocabularies cut a text before merging.
-BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+__all__ = ["DEFAULT", "FOLDER", "FRAME", "PIECES", "count_pieces", "count_tokens", "counter", "tokenizer_hash"]
 
-#: The compound operators and the pieces of the reference's pre-tokenizer, in order.
-OPERATORS = r"===|!==|\*\*=|\.\.\.|<<=|>>=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.|::|\*\*|->|<<|>>|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^="
-PIECES = rf"\r?\n[ \t]*| ?(?:{OPERATORS})| ?[\p{{L}}_$][\p{{L}}\p{{N}}_$]*| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}_$]|[ \t]+(?=[ \t])|[ \t]|\s"
-#: Fixed value: tokens that frame a document.
-FRAME = 3
 
-
-@lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function from texts to their numbers of tokens, for a .tiktoken, .json or .model file; loaded once a process.
-    Special tokens' strings in a text count as ordinary text."""
-    if path.endswith(".tiktoken"):
-        import tiktoken
-
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
-        encoding = tiktoken.Encoding(path, pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    import sentencepiece
-
-    processor = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
+    """A function from texts to their numbers of tokens."""
+    encode, _ = codec(path)
+    return lambda texts: [len(ids) for ids in encode(texts)]
 
 
 @lru_cache(maxsize=16)
@@ -74,8 +47,3 @@ def count_tokens(df: DataFrame, text: str, out: str = "tokens", path: str = DEFA
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], tokens], names=[*kept, out])
 
     return df.select(F.col(text), *(F.col(c) for c in kept)).mapInArrow(work, schema)
-
-
-def count_pieces(text: Column) -> Column:
-    """Pieces that the reference's pre-tokenizer cuts a text into; runs in the JVM."""
-    return F.regexp_count(text, F.lit(f"(?U){PIECES}")).cast("long")
