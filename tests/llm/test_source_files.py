@@ -102,7 +102,10 @@ def test_kinds_of_content():
     assert kind("class A {\n" + "".join(f"  get_f_{i}(buf) {{ return this.read(buf, {i + 1}, 2); }}\n" for i in range(9)) + "}\n") == {"generated"}
     assert kind("class A(Model):\n" + "".join(f"    {w} = models.CharField(max_length=20, default='{w}')\n" for w in "alpha beta gamma delta eps zeta eta theta".split()), "a.py") == set()
     assert kind("const d = [\n" + "  12.5, -3.25, 8,\n" * 60 + "];\n") == {"data"}
+    assert kind("const table = [\n" + "  0x46, 0x0a, 0xff, 1e5, 0b11,\n" * 40 + "];\n") == {"data"}
+    assert kind("const codes = {\n" + "".join(f"  e{i}: {{ code: {400 + i}, message: '{' '.join('bad request now'.split()[: i % 3 + 1])}!' }},\n" for i in range(9)) + "};\nexport default codes;\n") == {"generated"}
     assert kind("function a(b){return b?b.c(1):void 0}" * 20) == {"minified"}
+    assert kind("\n".join(f"// note {chr(97 + i)} of many" for i in range(20)) + "\n// Bundled copy of lib (1.2.3), see the x distribution\n" + HAND) == {"vendored"}
     assert kind("# Bundled copy of lib (1.2.3), see the x distribution\nimport os\n\n\ndef f():\n    return os.name\n", "a.py") == {"vendored"}
 
 
@@ -115,6 +118,23 @@ def test_attribute_files():
     assert say("src/a.js", deeper) == {"vendored": False} and say("b.js", deeper) == {"vendored": True} and say("src/keep.js", deeper) == {}
 
 
+def test_attribute_files_in_directories_with_a_dot():
+    assert handwritten.declared(".yarn/x.js", [("", ".yarn/** linguist-vendored\n")]) == {"vendored": True}
+    assert handwritten.declared("./.yarn/a/x.js", [(".yarn/", "*.js linguist-generated\n")]) == {"generated": True} and handwritten.declared("yarn/x.js", [(".yarn/", "*.js linguist-generated\n")]) == {}
+
+
+def test_patterns_mined_from_declaring_repositories(spark):
+    """Two repositories declare what lies in directories and endings that others have without saying so."""
+    body = lambda i: f"export function work{i}(a) {{\n  return a.part{i} + other{i}(a);\n}}\n"
+    rows = [(i, body(i), f"src/stubs{i % 3}/emitted/f{i}.js" if i % 2 else f"api/f{i}.proto-out.js", f"o/d{i % 2 if i < 12 else i % 4}") for i in range(40)]
+    rows += [(100, body(100), "lib/emitted/x.js", "u/a"), (101, body(101), "lib/y.proto-out.js", "u/b"), (102, body(102), "lib/z.js", "u/a"), (103, body(103), "api/own.js", "o/d0"), (104, body(104), "src/emitted/w.js", "o/clear")]
+    df = spark.createDataFrame(rows, "file_id long, code string, path string, repo string")
+    said = "**/emitted/** linguist-generated\n*.proto-out.js linguist-vendored\n"
+    marks = spark.createDataFrame([*((f"o/d{i}", ".gitattributes", said) for i in range(4)), ("o/clear", ".gitattributes", "**/emitted/** -linguist-generated\n")], "repo string, path string, text string")
+    got = {r["id"]: (r["kinds"], r["reasons"]) for r in handwritten.not_handwritten(df, marks).collect()}
+    assert got[100] == (["generated"], ["place"]) and got[101] == (["vendored"], ["place"]) and got[1] == (["generated"], ["declared"]) and not {102, 103, 104} & set(got)
+
+
 def test_not_handwritten(spark):
     body = "".join(f"def work_{w}(a):\n    return a.{w} + {i}\n\n\n" for i, w in enumerate("alpha beta gamma delta eps zeta eta theta iota kappa".split()))
     rows = [
