@@ -165,7 +165,7 @@ class FingerprintStore:
         profiled.select("id", "c0", "c1", "sketch", "file").write.mode("overwrite").parquet(f"{self.folder}/texts/{load}")
         rows = profiled.select(F.explode("prints").alias("print"), "id").withColumn("slice", _slice("print", self.slices))
         # a slice with a fingerprint of very many texts is split over several tasks, each with a file of its own
-        laid = rows.hint("rebalance", "slice").sortWithinPartitions("slice", "print")
+        laid = rows.hint("rebalance", "slice")
         laid.write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/prints/{load}")
         held = self.spark.read.schema(PRINTS).parquet(f"{self.folder}/prints/{load}").select("print", "slice")
         held.mapInArrow(_filters, FILTERS).write.mode("overwrite").partitionBy("slice").parquet(f"{self.folder}/filters/{load}")
@@ -196,7 +196,8 @@ class FingerprintStore:
     def holders(self, known: DataFrame) -> DataFrame:
         """``(print, id, sketch)``: stored texts that have one of the fingerprints ``known(print, slice)``."""
         rows = self._slices("prints", PRINTS, self._touched(known)).select("print", "id")
-        return join_checked(rows, known.select("print"), "print").join(self.texts.select("id", "sketch"), "id")
+        held = join_checked(rows, known.select("print"), "print")
+        return join_checked(held, self.texts.select("id", "sketch"), "id")
 
 
 def _exploded(profiled: DataFrame) -> DataFrame:
@@ -205,16 +206,25 @@ def _exploded(profiled: DataFrame) -> DataFrame:
 
 def sharing(left: DataFrame, right: DataFrame, earlier=None, block: int = BLOCK, agree: float = SKETCH_AGREE) -> DataFrame:
     """``(a, b)``: ids of ``left(print, id, sketch)`` and ``right`` that share a fingerprint and whose sketches agree.
-    ``earlier`` restricts the pairs by a condition on ``a`` and ``b``. A fingerprint of many left rows is cut into
-    blocks, and its right rows are repeated for each."""
-    blocks = left.groupBy("print").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    a = left.join(blocks, "print").select("print", own.alias("block"), F.col("id").alias("a"), *sketch_words("a"), *([F.col("ord").alias("oa")] if earlier else []))
-    b = right.join(blocks, "print").select("print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), *sketch_words("b"), *([F.col("ord").alias("ob")] if earlier else []))
-    pairs = a.join(b, ["print", "block"])
-    if earlier:
-        pairs = pairs.where(F.col("oa") < F.col("ob"))
-    return pairs.where(differing() <= int((1 - agree) * SKETCH)).select("a", "b").distinct()
+    ``earlier`` keeps pairs of which a stands before b in ``ord``. A fingerprint of more than ``block`` left rows is cut
+    into blocks, and its right rows are repeated for each; all others are joined as they are."""
+    hot = left.groupBy("print").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    hot = materialize(hot, "hot")
+    order = lambda side: [F.col("ord").alias(f"o{side}")] if earlier else []
+    a = left.select("print", F.col("id").alias("a"), *sketch_words("a"), *order("a"))
+    b = right.select("print", F.col("id").alias("b"), *sketch_words("b"), *order("b"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(F.col("oa") < F.col("ob")) if earlier else pairs
+        return pairs.where(differing() <= int((1 - agree) * SKETCH)).select("a", "b")
+
+    if hot.isEmpty():
+        return met(a.join(b, "print")).distinct()
+    own = F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).cast("int")
+    cut_a = join_checked(a, hot, "print").withColumn("block", own).drop("blocks")
+    cut_b = join_checked(b, hot, "print").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    cold = [join_checked(side, hot.select("print"), "print", "left_anti") for side in (a, b)]
+    return met(cold[0].join(cold[1], "print")).unionByName(met(cut_a.join(cut_b, ["print", "block"]))).distinct()
 
 
 def _sets(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
