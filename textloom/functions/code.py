@@ -119,31 +119,39 @@ def noise_reason(code: Column, path: Column, lang: Column) -> Column:
     )
 
 
+#: Lines that must stay first, blank space within a line, and what ends one.
+_GAP, _END = r"[^\S\n]*", r"(?:\n|\z)"
+_PREFIX = rf"""\A(?i)(?:(?:(?:#!|#{_GAP}-\*-|#{_GAP}(?:vim|coding)[:=])[^\n]*|{_GAP}['"]use (?:client|strict|server)['"];?{_GAP}){_END})*"""
+_BLOCKS = {
+    "/*": rf"\A(?s){_GAP}(?=/\*).*?\*/[^\n]*{_END}",
+    "//": rf"\A(?:{_GAP}//[^\n]*{_END})+",
+    "#": rf"\A(?:{_GAP}#[^\n]*{_END})+",
+}
+
+
 def strip_license(code: Column) -> Column:
     """The code without a leading comment of four or more lines that speaks of a licence, and without the blank lines
-    after it. Lines that must stay first (interpreter, encoding, directives) stay."""
-    lines = F.split(code, "\n")
-    none = F.lit(-1)
-    at = lambda xs, test: F.aggregate(xs, F.struct(F.lit(0).alias("i"), none.alias("hit")), lambda s, x: F.struct((s["i"] + 1).alias("i"), F.when((s["hit"] < 0) & test(x), s["i"]).otherwise(s["hit"]).alias("hit")), lambda s: s["hit"])
-    whole = F.size(lines)
-    begin = F.when(at(lines, lambda x: ~x.rlike(PREFIX_LINE)) < 0, whole).otherwise(at(lines, lambda x: ~x.rlike(PREFIX_LINE)))
-    from_ = lambda i: F.slice(lines, i + 1, F.greatest(whole - i, F.lit(0)))
-    first = F.ltrim(F.regexp_replace(F.coalesce(F.get(lines, begin), F.lit("")), r"^\s+", ""))
-    tail = from_(begin)
-    count = F.size(tail)
-    closing = at(tail, lambda x: F.contains(x, F.lit("*/")))
-    starts = lambda mark: at(tail, lambda x: ~F.regexp_replace(x, r"^\s+", "").startswith(mark))
-    length = (
-        F.when(first.startswith("/*"), F.when(closing < 0, count).otherwise(closing + 1))
-        .when(first.startswith("//"), F.when(starts("//") < 0, count).otherwise(starts("//")))
-        .when(first.startswith("#"), F.when(starts("#") < 0, count).otherwise(starts("#"))).otherwise(0)
-    )
-    block = F.array_join(F.slice(tail, 1, length), "\n")
-    rest = F.slice(tail, length + 1, F.greatest(count - length, F.lit(0)))
-    blank = at(rest, lambda x: ~x.rlike(r"^\s*$"))
-    kept = F.when(blank < 0, F.slice(rest, 1, 0)).otherwise(F.slice(rest, blank + 1, F.greatest(F.size(rest) - blank, F.lit(0))))
-    cut = F.array_join(F.concat(F.slice(lines, 1, begin), kept), "\n")
-    return F.when((length >= LICENSE_LINES) & block.rlike(LICENSE_WORDS), cut).otherwise(code)
+    after it. Lines that must stay first (interpreter, encoding, directives) stay. Only the head of a text is looked at:
+    each expression is anchored at its start."""
+    struct = lambda **columns: F.struct(*(c.alias(n) for n, c in columns.items()))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731 - a value that is computed once
+
+    def whole(prefix: Column) -> Column:
+        tail = F.substring(code, F.length(prefix) + 1, F.length(code))
+        first = F.regexp_extract(tail, r"\A\s*?(/\*|//|#)", 1)
+        first = F.when(F.regexp_extract(tail, rf"\A({_GAP})(?:/\*|//|#)", 0) != "", first).otherwise("")
+        found = F.coalesce(*(F.when(first == mark, F.regexp_extract(tail, block, 0)) for mark, block in _BLOCKS.items()), F.lit(""))
+        block = F.when((first == "/*") & (found == ""), tail).otherwise(found)  # a comment that never closes
+        return once(struct(tail=tail, block=block, open=(first == "/*") & (found == "")), lambda x: cut(prefix, x["tail"], x["block"], x["open"]))
+
+    def cut(prefix: Column, tail: Column, block: Column, open_: Column) -> Column:
+        count = occurrences(block, "\n") + F.when(open_ | ~block.endswith("\n"), 1).otherwise(0)
+        rest = F.regexp_replace(F.substring(tail, F.length(block) + 1, F.length(tail)), rf"\A(?:{_GAP}\n)*", "")
+        kept = F.when(rest.rlike(r"\A\s*\z"), "").otherwise(rest)
+        out = F.when(kept == "", F.regexp_replace(prefix, r"\n\z", "")).otherwise(F.concat(prefix, kept))
+        return F.when((block != "") & (count >= LICENSE_LINES) & block.rlike(LICENSE_WORDS), out).otherwise(code)
+
+    return once(F.regexp_extract(code, _PREFIX, 0), whole)
 
 
 def class_key(framework_: Column, lang: Column) -> Column:
