@@ -50,13 +50,13 @@ def all_four(rows: DataFrame, case: str) -> DataFrame:
     whole = rows.where("loss is not null").groupBy(case).agg(F.count_distinct("way", "model").alias("n")).where("n = 4").select(case)
     means = rows.join(whole, case, "left_semi").groupBy("way", "model").agg(F.avg("loss").alias("m"), F.count("*").alias("cases"))
     first = F.first("m").over(Window.partitionBy("model").orderBy("way"))  # four rows
-    return means.select("way", "model", F.round("m", 6).alias("loss"), "cases", F.round(F.col("m") / first, 6).alias("ratio"))
+    return means.select("way", "model", F.round("m", 6).alias("loss"), "cases", F.round(F.try_divide(F.col("m"), first), 6).alias("ratio"))
 
 
 def paired_ratio(rows: DataFrame) -> DataFrame:
     """Mean of each side over all that have it, and the ratio of means over rows that have both."""
     both = F.col("left_loss").isNotNull() & F.col("right_loss").isNotNull()
-    ratio = F.avg(F.when(both, F.col("left_loss"))) / F.avg(F.when(both, F.col("right_loss")))
+    ratio = F.try_divide(F.avg(F.when(both, F.col("left_loss"))), F.avg(F.when(both, F.col("right_loss"))))
     return rows.agg(F.round(F.avg("left_loss"), 6).alias("left_mean"), F.round(F.avg("right_loss"), 6).alias("right_mean"), F.round(ratio, 6).alias("ratio"), F.count_if(both).alias("both"))
 
 
@@ -115,7 +115,7 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
 def speed_gate(speeds: DataFrame, base: str, name: str = "name", speed: str = "median", least: float = 1.3) -> DataFrame:
     """Each variant's speed as a share of the base's, and whether it passes."""
     start = speeds.where(F.col(name) == base).agg(F.max(speed)).first()[0]
-    return speeds.where(F.col(name) != base).select(name, F.round(F.col(speed) / F.lit(start), 6).alias("share"), (F.col(speed) >= least * F.lit(start)).alias("passes"))
+    return speeds.where(F.col(name) != base).select(name, F.round(F.try_divide(F.col(speed), F.lit(start).cast("double")), 6).alias("share"), (F.col(speed) >= least * F.lit(start)).alias("passes"))
 
 
 def decoding_grid(spark) -> DataFrame:
@@ -155,7 +155,7 @@ def compression(docs: DataFrame, text: str, tokens: str, by: str) -> DataFrame:
     """Bytes per token and tokens per document, by class and in all."""
     out = docs.rollup(by).agg(F.grouping(by).alias("_all"), F.count("*").alias("docs"), F.sum(F.octet_length(text)).alias("bytes"), F.sum(tokens).cast("long").alias("tokens"))
     out = out.withColumn(by, F.when(F.col("_all") == 1, "(all)").otherwise(F.col(by)))
-    return out.select(by, "docs", F.round(F.col("bytes") / F.col("tokens"), 6).alias("bytes_per_token"), F.round(F.col("tokens") / F.col("docs"), 6).alias("tokens_per_doc"))
+    return out.select(by, "docs", F.round(F.try_divide("bytes", "tokens"), 6).alias("bytes_per_token"), F.round(F.col("tokens") / F.col("docs"), 6).alias("tokens_per_doc"))
 
 
 def vocabulary_choice(rows: DataFrame, frame: int = 3) -> DataFrame:
@@ -163,7 +163,7 @@ def vocabulary_choice(rows: DataFrame, frame: int = 3) -> DataFrame:
     docs)``: the corpus in tokens with ``frame`` of them around each document, and bytes per token times tokens per
     second. The best score wins, the larger vocabulary if two are equal."""
     score = F.col("bytes_per_token") * F.col("speed")
-    own = rows.withColumn("score", score).withColumn("est_tokens", F.floor(F.col("bytes") / F.col("bytes_per_token") + frame * F.col("docs")).cast("long"))
+    own = rows.withColumn("score", score).withColumn("est_tokens", F.floor(F.try_divide("bytes", "bytes_per_token") + frame * F.col("docs")).cast("long"))
     best = F.max_by("vocabulary", F.struct("score", "vocabulary")).over(Window.partitionBy(F.lit(0)))  # one row per vocabulary
     return own.select("vocabulary", "est_tokens", F.round("score", 6).alias("score"), (F.col("vocabulary") == best).alias("wins"))
 
@@ -177,7 +177,7 @@ def hardware_advice(speeds: DataFrame, by: str) -> DataFrame:
     precision by the gain, and the number of threads with the best full-precision speed, the least one if two are equal."""
     best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("speed")))
     order = F.when(F.col("kind") == "full", F.struct("speed", (-F.col("threads")).alias("few")))
-    out = speeds.groupBy(by).agg((best("half") / best("full")).alias("r"), F.max_by("threads", order).alias("threads"))
+    out = speeds.groupBy(by).agg(F.try_divide(best("half"), best("full")).alias("r"), F.max_by("threads", order).alias("threads"))
     return out.select(by, F.round("r", 6).alias("ratio"), F.when(F.col("r") > PRECISION_GAIN, "mixed").when(F.col("r").isNotNull(), "full").alias("precision"), "threads")
 
 

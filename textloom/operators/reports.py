@@ -22,16 +22,16 @@ def distribution(df: DataFrame, by: str) -> DataFrame:
 
 
 def shares(df: DataFrame, by: str, weight: str) -> DataFrame:
-    """``(<by>, tokens, share)``."""
+    """``(<by>, tokens, share)``; shares are null where there are no tokens."""
     sums = df.groupBy(by).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("tokens"))
-    return sums.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0))), 4))
+    return sums.withColumn("share", F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(0)))), 4))
 
 
 def before_after(df: DataFrame, by: str, weight: str, chosen: Column) -> DataFrame:
-    """Documents and tokens of each class, those chosen, and the fraction of tokens kept."""
+    """Documents and tokens of each class, those chosen, and the fraction of tokens kept, null for a class of none."""
     own = df.withColumn("_w", F.coalesce(F.col(weight), F.lit(0)).cast("long")).withColumn("_c", chosen)
     out = own.groupBy(by).agg(F.count("*").alias("docs"), F.sum("_w").alias("tokens"), F.count_if("_c").alias("kept_docs"), F.coalesce(F.sum(F.when(F.col("_c"), F.col("_w"))), F.lit(0)).alias("kept_tokens"))
-    return out.withColumn("fraction", F.round(F.col("kept_tokens") / F.col("tokens"), 6))
+    return out.withColumn("fraction", F.round(F.try_divide("kept_tokens", "tokens"), 6))
 
 
 def fragment_block(rows: DataFrame) -> DataFrame:

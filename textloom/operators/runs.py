@@ -81,11 +81,11 @@ def status(log: DataFrame, most_steps: int, tokens_per_step: int, last: int = 5,
     best = tested.agg(F.max_by("val_loss", "step").alias("val_loss"), F.min("val_loss").alias("best_val"))
     left = F.greatest(F.lit(most_steps) - F.col("step"), F.lit(0))
     out = recent.where("step is not null").crossJoin(best)  # one row on either side
-    return out.select("step", "loss", F.round("tok_s", 6).alias("tok_s"), "val_loss", "best_val", left.alias("remaining_steps"), F.round(left * tokens_per_step / F.col("tok_s") / 86400, 6).alias("days_left"))
+    return out.select("step", "loss", F.round("tok_s", 6).alias("tok_s"), "val_loss", "best_val", left.alias("remaining_steps"), F.round(F.try_divide(left * tokens_per_step, F.col("tok_s")) / 86400, 6).alias("days_left"))
 
 
 def grouped_speed(log: DataFrame, value: str, tokens_per_step: int, seconds: str = "seconds", width: int = 10) -> DataFrame:
     """``(step, average, tok_s)`` over groups of ``width`` steps named by their last one: mean value, and tokens of the
     group's rows over the seconds that they took."""
     end = (F.ceil(F.col("step") / width) * width).cast("long")
-    return log.groupBy(end.alias("step")).agg(F.round(F.avg(value), 6).alias("average"), F.round(F.count("*") * tokens_per_step / F.sum(seconds), 6).alias("tok_s"))
+    return log.groupBy(end.alias("step")).agg(F.round(F.avg(value), 6).alias("average"), F.round(F.try_divide(F.count("*") * tokens_per_step, F.sum(seconds)), 6).alias("tok_s"))
