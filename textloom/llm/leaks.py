@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.session import materialize
@@ -68,17 +68,18 @@ def _spans(doc: int, words: list[str], places: list[tuple[int, int]], hits: list
     return [(item, doc, places[a][0], places[b - 1][1], b - a) for item, a, b in out]
 
 
-def _scan(items: list[tuple[int, str]], run: int):
-    """The set of the items' runs, and the task that looks texts up in it."""
+def _scan(spark: SparkSession, items: list[tuple[int, str]], run: int):
+    """The task that looks texts up in the set of the items' runs, which is broadcast once to each executor."""
     texts, table = [], {}
     for number, text in items:
         words = words_of(text)[0]
         for at, code in enumerate(window_hashes(words, run).tolist()):
             table.setdefault(code, []).append((len(texts), at))
         texts.append((number, words))
-    codes = np.sort(np.fromiter(table, np.uint64, len(table)))
+    sent = spark.sparkContext.broadcast((texts, table, np.sort(np.fromiter(table, np.uint64, len(table)))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, table, codes = sent.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -95,7 +96,9 @@ def _scan(items: list[tuple[int, str]], run: int):
 
 
 def _joined(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
-    """The way for evaluation sets of any size: windows of both sides are joined by their hash and verified as text."""
+    """The way for evaluation sets of any size: windows of both sides meet by 128 bits of their words, two hashes that are
+    made independently, and no words travel. A window of the corpus is two hashes and three numbers, and only those whose
+    first hash an item has are kept."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +106,13 @@ def _joined(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
                 words, places = words_of(text)
                 own = window_hashes(words, run)
                 if len(own):
+                    second = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + run]).encode("utf-8", "surrogatepass")) for i in range(len(own))), np.uint64, len(own))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(own), pa.int64()), pa.array(own.view(np.int64)), pa.array([" ".join(words[i : i + run]) for i in range(len(own))]), pa.array([places[i][0] for i in range(len(own))], pa.int32()), pa.array([places[i + run - 1][1] for i in range(len(own))], pa.int32()), pa.array(np.arange(len(own), dtype=np.int32))],
+                        [pa.array(np.full(len(own), number)), pa.array(own.view(np.int64)), pa.array(second.view(np.int64)), pa.array([places[i][0] for i in range(len(own))], pa.int32()), pa.array([places[i + run - 1][1] for i in range(len(own))], pa.int32()), pa.array(np.arange(len(own), dtype=np.int32))],
                         names=["n", "code", "said", "begin", "stop", "word"],
                     )
 
-    form = "n long, code long, said string, begin int, stop int, word int"
+    form = "n long, code long, said long, begin int, stop int, word int"
     asked = items.mapInArrow(windows, form).select(F.col("n").alias("item_id"), "code", "said").distinct()
     wanted = materialize(asked, "asked")
     held = docs.mapInArrow(windows, form).join(wanted, ["code", "said"])
@@ -129,7 +133,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
     if (asked.agg(F.sum(F.length("text"))).first()[0] or 0) > sent_chars:
         return _joined(own, asked, run)
-    return own.mapInArrow(_scan([(r["item_id"], r["text"]) for r in asked.collect()], run), SPANS)  # within the bound
+    return own.mapInArrow(_scan(docs.sparkSession, [(r["item_id"], r["text"]) for r in asked.collect()], run), SPANS)  # within the bound
 
 
 def leaks(spans: DataFrame) -> DataFrame:
