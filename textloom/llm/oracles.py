@@ -29,6 +29,10 @@ _ALIKE = (
 _FILES = "(SELECT DISTINCT file_id AS id, code FROM code_files WHERE code <> '')"
 
 P1_FOUND = f"WITH {_sets(_FILES)}, {_ALIKE} SELECT a AS file_id_a, b AS file_id_b FROM like_"
+P1_LINKS = (
+    f"WITH {_sets(_FILES)}, {_ALIKE}, h AS (SELECT min(id) AS id FROM (SELECT id, {_TOKENS} AS t FROM {_FILES}) GROUP BY t) "
+    "SELECT a AS file_id_a, b AS file_id_b, round(common / (m + n - common), 6) AS similarity FROM w WHERE common >= 0.8 * (m + n - common) AND a IN (SELECT id FROM h) AND b IN (SELECT id FROM h)"
+)
 P1_GROUPS = (
     f"WITH RECURSIVE {_sets(_FILES)}, {_ALIKE}, e AS (SELECT a AS x, b AS y FROM like_ UNION ALL SELECT b, a FROM like_), "
     "g AS (SELECT DISTINCT file_id AS node, file_id AS least FROM code_files WHERE file_id IS NOT NULL UNION SELECT e.y, g.least FROM g JOIN e ON e.x = g.node WHERE g.least < e.y) "
@@ -69,4 +73,4 @@ P7_FOUND = (
 _NGRAMS = r"SELECT {0} AS id, unnest(list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' ')))) AS g FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1}) WHERE len(w) >= 12"
 P9_FOUND = f"WITH i AS ({_NGRAMS.format('item_id', 'eval_items')}), d AS ({_NGRAMS.format('doc_id', 'documents')}) SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM i JOIN d USING (g)"
 
-SQL = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p1_members": P1_MEMBERS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_groups": P1_GROUPS, "p1_members": P1_MEMBERS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
