@@ -143,6 +143,7 @@ def test_windows_of_the_stream(spark, sizes):
         want = (STREAM[at : at + n] + STREAM[at + n :] + STREAM[: at + n])[:9]
         assert rows[i] == want, i
         at += n
+    assert streams.following(docs, 8).where("stream = 't'").first()["row"] == [1, 3, 2, 1, 3, 2, 1, 3]
     checked = streams.integrity(docs, 10).where("stream = 't'").first()
     assert (checked["docs"], checked["tokens"], checked["files"], checked["ends"], checked["whole"], checked["top"], checked["fits"]) == (1, 3, 1, 1, 1, 3, True)
 

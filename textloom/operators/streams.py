@@ -151,17 +151,23 @@ def integrity(docs: DataFrame, vocabulary: int, by: str = "stream", ids: str = "
 
 
 def following(docs: DataFrame, length: int, by: str = "stream", key: str = "doc_id", ids: str = "ids", start: str = "start") -> DataFrame:
-    """Adds ``row``: each document and what follows it in its stream, wrapped at the end, cut to ``length`` tokens, as far
-    as the stream holds them. Only the first ``length`` tokens of a later document travel."""
+    """Adds ``row`` of exactly ``length`` tokens: each document and what follows it in its stream, which begins again at its
+    end as often as needed. Only the tokens that a row lacks travel."""
     sizes = docs.groupBy(by).agg(F.sum(F.size(ids)).alias("_whole"))
     own = docs.join(sizes, by)
     want = F.col(start) + F.size(ids)
     parts = lambda a, b: F.sequence(F.floor(a / length), F.floor(b / length))
-    lacking = own.where(F.size(ids) < length).select(by, F.col(key).alias("_k"), want.alias("_from"), (length - F.size(ids)).alias("_n"), "_whole")
-    # the stretch that a document lacks, and its second part from the start of the stream where it passes the end
-    a = lacking.select(by, "_k", F.lit(0).alias("_lap"), "_from", F.least(F.col("_from") + F.col("_n"), F.col("_whole")).alias("_to"))
-    b = lacking.where(F.col("_from") + F.col("_n") > F.col("_whole")).select(by, "_k", F.lit(1).alias("_lap"), F.lit(0).cast("long").alias("_from"), F.least(F.col("_from") + F.col("_n") - F.col("_whole"), F.col("_whole")).alias("_to"))
-    asked = a.unionByName(b).where("_to > _from").select("*", F.explode(parts(F.col("_from"), F.col("_to") - 1)).alias("_part"))
+    lacking = own.where((F.size(ids) < length) & (F.col("_whole") > 0)).select(by, F.col(key).alias("_k"), want.alias("_from"), (length - F.size(ids)).alias("_n"), "_whole")
+    # the stretch that a document lacks: what is left of its stream, then the stream from its start as often as needed
+    whole = F.col("_whole")
+    rest = whole - F.col("_from")
+    laps = F.greatest(F.ceil((F.col("_n") - rest) / whole), F.lit(0)).cast("int")
+    asked = lacking.select("*", F.explode(F.sequence(F.lit(0), laps)).alias("_lap"))
+    first = F.col("_lap") == 0
+    taken = F.when(first, 0).otherwise(rest + (F.col("_lap") - 1) * whole)
+    begin = F.when(first, F.col("_from")).otherwise(F.lit(0)).cast("long")
+    asked = asked.select(by, "_k", "_lap", begin.alias("_from"), F.least(begin + F.col("_n") - taken, whole).alias("_to"))
+    asked = asked.where("_to > _from").select("*", F.explode(parts(F.col("_from"), F.col("_to") - 1)).alias("_part"))
     held = own.where(F.size(ids) > 0).select(F.col(by).alias("_s"), F.col(start).alias("_b"), F.col(ids).alias("_ids"), F.explode(parts(F.col(start), F.col(start) + F.size(ids) - 1)).alias("_p"))
     low, high = F.greatest("_from", "_b"), F.least("_to", F.col("_b") + F.size("_ids"))
     met = asked.join(held, (F.col(by) == F.col("_s")) & (F.col("_part") == F.col("_p"))).where((low < high) & (F.floor(low / length) == F.col("_part")))

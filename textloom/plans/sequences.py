@@ -116,7 +116,7 @@ def stream_integrity(spark, folder):
 # what follows a document in its stream, wrapped at the end: positions of the row, one after the other
 _FOLLOW = (
     f"(WITH p AS {PLACED}, z AS (SELECT stream, sum(len(ids)) AS whole FROM p GROUP BY stream), f AS (SELECT stream, array_agg(x ORDER BY doc_id, i) AS flat FROM (SELECT stream, doc_id, i, ids[i] AS x FROM (SELECT stream, doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM p)) GROUP BY stream) "
-    "SELECT p.doc_id, p.stream, p.ids, p.start, list_concat(p.ids, list_concat(list_slice(flat, start + len(ids) + 1, whole), list_slice(flat, 1, start + len(ids)))) AS around FROM p JOIN f USING (stream) JOIN z USING (stream))"
+    "SELECT p.doc_id, p.stream, p.ids, p.start, list_concat(p.ids, list_concat(list_slice(flat, start + len(ids) + 1, whole), flatten(list_transform(range(0, (1 + 600 // whole)::BIGINT), lambda i: flat)))) AS around FROM p JOIN f USING (stream) JOIN z USING (stream))"
 )
 
 
