@@ -154,12 +154,12 @@ def longest_tokens(spark, folder):
     return T.longest_tokens(words)
 
 
-@query("SELECT list(id ORDER BY id) AS ids FROM (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN chr(10) || props ELSE event_type END AS token FROM events WHERE event_id < 2000) WHERE contains(token, chr(10))")
+@query("SELECT count(*) AS tokens, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids FROM (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN chr(10) || props ELSE event_type END AS token FROM events WHERE event_id < 2000) WHERE contains(token, chr(10))")
 def newline_tokens(spark, folder):
     """Ids of a made vocabulary's tokens that hold a line feed; the vocabulary has two thousand entries by definition."""
     e = read(spark, folder, "events").where("event_id < 2000")
     vocabulary = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\n"), "props")).otherwise(F.col("event_type")).alias("token"))
-    return T.newline_tokens(vocabulary)
+    return T.newline_tokens(vocabulary).select(F.size("ids").cast("long").alias("tokens"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 # Infill ---------------------------------------------------------------------------------------------------------------
@@ -246,12 +246,12 @@ def fim_text(spark, folder):
     return rows.select("doc_id", _digest("psm"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_concat([1, 3], list_slice(ids, 3, len(ids) - 1)), ',')) AS plain, md5(array_to_string(list_concat([1, 3, 16384], list_slice(ids, 3, least(8, len(ids) - 1)), [16385], list_slice(ids, 9, least(12, len(ids) - 1)), [16386]), ',')) AS infill, list_sort(list_filter(psm, lambda i: i IN (16384, 16385, 16386))) AS vetoed FROM {PSM}")
+@query(f"SELECT doc_id, md5(array_to_string(list_concat([1, 3], list_slice(ids, 3, len(ids) - 1)), ',')) AS plain, md5(array_to_string(list_concat([1, 3, 16384], list_slice(ids, 3, least(8, len(ids) - 1)), [16385], list_slice(ids, 9, least(12, len(ids) - 1)), [16386]), ',')) AS infill, array_to_string(list_sort(list_filter(psm, lambda i: i IN (16384, 16385, 16386))), ',') AS vetoed FROM {PSM}")
 def prompts(spark, folder):
     rows = infill.psm(token_docs(spark, folder), "ids", "doc_id")
     body = F.slice("ids", 3, F.size("ids") - 3)
     rows = rows.select("doc_id", infill.prompt(F.lit(3), body).alias("plain"), infill.infill_prompt(F.lit(3), F.slice(body, 1, 6), F.slice(body, 7, 4)).alias("infill"), infill.vetoed(F.col("psm")).alias("vetoed"))
-    return rows.select("doc_id", _digest("plain", "plain"), _digest("infill", "infill"), "vetoed")
+    return rows.select("doc_id", _digest("plain", "plain"), _digest("infill", "infill"), F.array_join(F.col("vetoed").cast("array<string>"), ",").alias("vetoed"))
 
 
 _GENERATED = f"(SELECT file_id, prefix, middle, suffix, middle || prefix AS generated FROM {CASES})"
