@@ -2,6 +2,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -440,3 +441,39 @@ def test_log_status(spark):
     got = runs.status(spark.createDataFrame(rows, "line long, step long, loss double, tok_s double, val_loss double"), 100, 864).first()
     assert tuple(got) == (20, 3.0, 6.0, 2.5, 2.5, 80, round(80 * 864 / 6 / 86400, 6))
     assert runs.status(spark.createDataFrame([], "line long, step long, loss double, tok_s double, val_loss double"), 100, 1).count() == 0
+
+
+def test_residual_counts_pairs_by_exact_sets(spark, monkeypatch):
+    # 90 documents share one opening; ids 0, 100 and 300 are asked; 300 is delivered in two rows, which count together
+    rows = [(i, f"one two three four five word{i % 7} tail{i % 3} end") for i in range(210, 300)]
+    rows += [(0, "one two three four five word1 tail0 end"), (100, "a b"), (101, "a b"), (102, ""), (300, "one two three four five"), (300, "one two three four five word1 more"), (None, "a b"), (103, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+
+    def sets(text):
+        t = text.split()
+        return {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))}
+
+    held = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            held.setdefault(i, Counter()).update(sets(t))
+    want = Counter()
+    for a in (0, 100, 300):
+        for b in held:
+            if a != b and (b % 100 or a < b):
+                common = sum(n * held[b][s] for s, n in held[a].items())
+                if common:
+                    want[10 * common // (held[a].total() + held[b].total() - common)] += 1
+    assert {r["bin"]: r["pairs"] for r in dedup.residual(df, "id", "text").collect()} == want
+    monkeypatch.setattr(dedup, "ASKED_RUNS", 4)  # several passes
+    monkeypatch.setattr(dedup, "ENTRIES", 3)
+    assert {r["bin"]: r["pairs"] for r in dedup.residual(df, "id", "text").collect()} == want
+    assert dedup.residual(df.limit(0), "id", "text").count() == 0
+
+
+def test_residual_shuffles_no_pairs(spark):
+    df = spark.range(400).select("id", F.concat(F.lit("one two three four five six "), F.col("id")).alias("text"))
+    audit = dedup.residual(df, "id", "text")
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan
+    assert [(r["bin"], r["pairs"]) for r in audit.collect()] == [(5, 4 * 396 + 6)]
