@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -477,3 +478,29 @@ def test_residual_shuffles_no_pairs(spark):
     plan = audit._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Generate" not in plan
     assert [(r["bin"], r["pairs"]) for r in audit.collect()] == [(5, 4 * 396 + 6)]
+
+
+def test_order_codes():
+    for seed, first, count in ((0, 0, 1), (0, 7, 1234), (-3, 1999, 40_000), (123_456, 10**12, 300)):
+        want = [int(hashlib.md5(f"{seed}:{first}:{i}".encode()).hexdigest()[:8], 16) for i in range(count)]
+        assert chance.order_codes(seed, first, count).tolist() == want
+
+
+def test_bootstrap_draws_each_value_by_hash(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(g, i, rng.random()) for g, n in (("a", 700), ("b", 130), ("c", 1)) for i in range(n)] + [("b", None, 5.0), ("a", 3, None), (None, 4, 1.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    want = {}
+    for g in "abc":
+        v = [x for *_, x in sorted((i is None, i or 0, x) for h, i, x in rows if h == g and x is not None)]
+        means = [np.mean([v[int(hashlib.md5(f"0:{r}:{i}".encode()).hexdigest()[:8], 16) % len(v)] for i in range(len(v))]) for r in range(50)]
+        want[g] = (len(v), *(pytest.approx(x, abs=1e-6) for x in (np.mean(v), np.quantile(means, 0.025), np.quantile(means, 0.975))))
+    monkeypatch.setattr(statistics, "PIECE", 100)
+    sent = statistics.bootstrap(df, "g", "v", "id", 50)
+    assert "SortMergeJoin" not in sent._jdf.queryExecution().executedPlan().toString()  # draws meet no values by a shuffle
+    assert {r["g"]: tuple(r)[1:] for r in sent.collect()} == want
+    monkeypatch.setattr(statistics, "SENT_VALUES", 100)
+    assert {r["g"]: tuple(r)[1:] for r in statistics.bootstrap(df, "g", "v", "id", 50).collect()} == want
+    monkeypatch.undo()
+    assert statistics.bootstrap(df.limit(0), "g", "v", "id", 50).count() == 0

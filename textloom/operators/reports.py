@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.statistics import bootstrap
+from textloom.session import materialize
 
 
 def funnel(df: DataFrame, columns: list[str], size: Column) -> DataFrame:
@@ -90,7 +91,7 @@ def summary_interval(rows: DataFrame, unit: str, value: str, replicates: int, by
     group and as ``(all)``; ``ever`` counts units that had a positive value. Units are numbers."""
     group = F.lit("(all)") if by is None else F.explode(F.array_distinct(F.array(F.coalesce(F.col(by).cast("string"), F.lit("(none)")), F.lit("(all)"))))
     own = rows.select(F.col(unit).alias("_unit"), F.col(value).cast("double").alias("_v"), group.alias("_by"))
-    each = own.groupBy("_by", "_unit").agg(F.avg("_v").alias("_m"), (F.max("_v") > 0).alias("_any"))
+    each = materialize(own.groupBy("_by", "_unit").agg(F.avg("_v").alias("_m"), (F.max("_v") > 0).alias("_any")), "units")
     ends = bootstrap(each, "_by", "_m", "_unit", replicates, seed=seed)
     ever = each.groupBy("_by").agg(F.count_if("_any").alias("ever"))
     return ends.join(ever, "_by").select(F.col("_by").alias(by or "group"), F.col("n").alias("units"), "mean", "low", "high", "ever")
