@@ -1,5 +1,6 @@
 import ast
 import glob
+import random
 import sysconfig
 import warnings
 
@@ -152,3 +153,36 @@ def test_mined_directories(spark):
     rows = [(i, f"p{i}", ["web", "bundle", f"pkg{i}"]) for i in range(30)] + [(100 + i, f"p{i}", ["src", "app"]) for i in range(30)] + [(200 + i, f"p{i}", ["src", "bundle", f"pkg{i}"]) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, project string, dirs array<string>")
     assert [r[0] for r in handwritten.packages(df).collect()] == ["bundle"]
+
+
+def test_every_copy_that_reaches_the_threshold(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(60):
+        own = [f"word{i}x{j}" for j in range(200)]
+        rows.append((2 * i, " ".join(own), f"node_modules/lib{i}/part{i}.js", f"a/r{i}"))
+        changed = list(own)
+        for j in rng.sample(range(0, 200, 5), 8 + i % 4):  # each change costs five runs on either side
+            changed[j] = f"new{i}x{j}"
+        rows.append((2 * i + 1, " ".join(changed), f"src/part{i}.js", f"b/r{i}"))
+        sets = [{tuple(t[k : k + 5]) for k in range(196)} for t in (own, changed)]
+        if len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= handwritten.COPIED:
+            want.add(2 * i + 1)
+    rows.append((200, rows[0][1], "lib/part0.js", "c/r"))
+    rows.append((201, rows[0][1] + " " + rows[0][1].upper(), "lib/part0.js", "c/r"))  # 0.49 of it
+    rows += [(202, "other text of the same key", "lib/part1.js", "c/r"), (202, rows[2][1] + " end", "lib/part1.js", "c/r")]
+    assert 10 < len(want) < 60
+    df = spark.createDataFrame(rows, "file_id long, code string, path string, repo string")
+    got = {r["id"] for r in handwritten.not_handwritten(df).collect() if "copy of a third-party file" in r["reasons"]}
+    assert {i for i in got if i % 2 or i >= 200} == want | {200, 202}
+
+
+def test_copies_in_blocks(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i // 10}x{j}" for j in range(100)) + f" own{i}") for i in range(100)], "id long, code string")
+    sets = rows.select("code").mapInArrow(handwritten._class_sets, "c0 long, c1 long, runs array<long>").toPandas()
+    ids = rows.toPandas()["id"].tolist()
+    keyed = spark.createDataFrame([("n", int(c0), int(c1), i) for i, c0, c1 in zip(ids, sets["c0"], sets["c1"])], "name string, c0 long, c1 long, id long")
+    known = keyed.where("id % 10 = 0 and id < 50")
+    for block in (1024, 3):
+        got = handwritten.copies_of(known, keyed, rows, block).join(keyed, ["name", "c0", "c1"])
+        assert sorted(r["id"] for r in got.collect()) == list(range(50))

@@ -165,6 +165,34 @@ def distinct_runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return _distinct(np.repeat(np.arange(len(counts), dtype=np.int64), counts), hashes, len(counts))
 
 
+def shared_runs(left: np.ndarray, left_counts: np.ndarray, right: np.ndarray, right_counts: np.ndarray, cells: int = 2_000_000):
+    """For pieces of the right sets, the place of the first one and how many runs each shares with each left set. Sets
+    stand in a row; at most about ``cells`` counts are held and as many matches are made at once."""
+    if not len(left_counts) or not len(right_counts):
+        return
+    owner = np.repeat(np.arange(len(left_counts)), left_counts)
+    order = np.argsort(left, kind="stable")
+    held, first, times = np.unique(left[order], return_index=True, return_counts=True)
+    posting, ends = owner[order], np.concatenate(([0], np.cumsum(right_counts)))
+    step = max(1, cells // len(left_counts))
+    for at in range(0, len(right_counts), step):
+        to = min(at + step, len(right_counts))
+        own, row = right[ends[at] : ends[to]], np.repeat(np.arange(to - at), right_counts[at:to])
+        place = np.minimum(np.searchsorted(held, own), len(held) - 1)
+        hit = held[place] == own
+        row, place = row[hit], place[hit]
+        upto = np.cumsum(times[place])
+        counts = np.zeros((to - at) * len(left_counts), np.int64)
+        begin = 0
+        while begin < len(row):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + cells, side="right")))
+            n = times[place[begin:end]]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[place[begin:end]], n)
+            counts += np.bincount(np.repeat(row[begin:end], n) * len(left_counts) + posting[entry], minlength=len(counts))
+            begin = end
+        yield at, counts.reshape(to - at, len(left_counts))
+
+
 def _distinct(owner: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((values, owner))
     owner, values = owner[order], values[order]

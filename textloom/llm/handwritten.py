@@ -8,7 +8,7 @@
 3. Content speaks in any repository: a tool's mark in a comment before or after all code, members counted through line
    by line, lines no hand would write, literals without code, a library's own heading.
 4. A file of the same name as a known third-party file and with nearly the same text is a copy of it, wherever it lies;
-   sketches find such pairs, exact sets of token runs decide.
+   exact sets of token runs decide, for every pair of one name.
 
 A licence heading alone is no sign; neither is a mark inside a string or between pieces of code.
 """
@@ -19,19 +19,21 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import fingerprint as fp
-from textloom.llm.history import SKETCH, sharing
-from textloom.llm.neardup import run_sets, verified
 from textloom.llm.splits import project
 from textloom.session import join_checked, materialize
 
 KINDS = ("generated", "minified", "data", "vendored")
 #: Exact similarity from which a file of a third-party file's name is a copy of it.
 COPIED = 0.6
+#: Different third-party texts, and others, of one name that meet in one task; a name of more is cut into blocks.
+COPY_BLOCK = 1024
 
 # What tools write into what they put out.
 MARK = re.compile(
@@ -257,7 +259,7 @@ def _dirs(path: Column) -> Column:
     return F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: ~p.isin("", "."))
 
 
-SCAN = "id long, found array<string>, origin boolean, party boolean, name string, c0 long, c1 long, sketch array<long>"
+SCAN = "id long, found array<string>, origin boolean, party boolean, name string, c0 long, c1 long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +268,56 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in fp.chunks(codes):
             texts = [codes[i] for i in own]
             flat, counts = fp.token_hashes(texts)
-            bits, classes = fp.sketch(fp.superminhash(*fp.runs(flat, counts), SKETCH)), fp.text_keys(flat, counts)
+            classes = fp.text_keys(flat, counts)
             said = [kinds(t, paths[i] or "") for i, t in zip(own, texts)]
             columns = [ids.take(pa.array(own)), pa.array([sorted(k) for k, _ in said], pa.list_(pa.string())), pa.array([o for _, o in said]), pa.array([third_party(paths[i] or "") for i in own]), pa.array([stem(paths[i] or "") for i in own])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["id", "found", "origin", "party", "name", "c0", "c1", "sketch"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(classes[:, 0]), pa.array(classes[:, 1])], names=["id", "found", "origin", "party", "name", "c0", "c1"])
+
+
+def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(c0, c1, runs)`` of texts: the name of their token sequence and their exact set."""
+    for batch in batches:
+        codes = batch.column(0).to_pylist()
+        for own in fp.chunks(codes):
+            flat, counts = fp.token_hashes([codes[i] for i in own])
+            values, n = fp.distinct_runs(*fp.runs(flat, counts))
+            classes, ends = fp.text_keys(flat, counts), np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.ListArray.from_arrays(ends, values.view(np.int64))], names=["c0", "c1", "runs"])
+
+
+def _copies(table: pa.Table) -> pa.Table:
+    """``(name, c0, c1)`` of the texts of one name that are like one of its third-party texts."""
+    table = table.combine_chunks()
+    sides = [table.filter(pc.equal(table["known"], pa.scalar(known))) for known in (True, False)]
+    sets = []
+    for side in sides:
+        runs = pa.concat_arrays(side["runs"].chunks) if side.num_rows else pa.array([], pa.list_(pa.int64()))
+        sets.append((runs.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)))
+    like = np.zeros(len(sets[1][1]), dtype=bool)
+    for at, shared in fp.shared_runs(*sets[0], *sets[1]):
+        whole = sets[0][1][None, :] + sets[1][1][at : at + len(shared), None] - shared
+        like[at : at + len(shared)] = (shared / whole >= COPIED).any(axis=1)
+    return sides[1].select(["name", "c0", "c1"]).filter(pa.array(like))
+
+
+def copies_of(known: DataFrame, asked: DataFrame, rows: DataFrame, block: int = COPY_BLOCK) -> DataFrame:
+    """``(name, c0, c1)`` of the texts in ``asked`` that are like one of the same name in ``known(name, c0, c1, id)``,
+    whose texts are found by id in ``rows(id, code)``. Equal texts need no sets; all others of a name are compared in
+    full, in blocks where there are many."""
+    key = ["name", "c0", "c1"]
+    equal = asked.join(known.select(key), key, "left_semi").select(key)
+    open_ = asked.join(known.select(key), key, "left_anti")
+    members = known.select(*key, "id", F.lit(True).alias("known")).unionByName(open_.select(*key, "id", F.lit(False).alias("known")))
+    blocks = lambda some: F.ceil(F.count_if(some) / block).cast("int")
+    sizes = members.groupBy("name").agg(blocks(F.col("known")).alias("across"), blocks(~F.col("known")).alias("down")).where("across > 0 and down > 0")
+    members = materialize(members.join(sizes, "name"), "copymembers")
+    wanted = materialize(members.groupBy("c0", "c1").agg(F.min("id").alias("id")).select("id").distinct(), "wanted")
+    sets = join_checked(rows.select("id", "code"), wanted, "id", "left_semi").select("code").mapInArrow(_class_sets, "c0 long, c1 long, runs array<long>")
+    own = F.pmod(F.xxhash64("c0", "c1"), F.when(F.col("known"), F.col("across")).otherwise(F.col("down")).cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("known"), F.col("down")).otherwise(F.col("across")) - 1))
+    met = sets.join(members.drop("id"), ["c0", "c1"]).select(*key, "known", "runs", own.alias("own"), other.alias("other"))
+    met = met.select(*key, "known", "runs", F.when(F.col("known"), F.col("own")).otherwise(F.col("other")).alias("across"), F.when(F.col("known"), F.col("other")).otherwise(F.col("own")).alias("down"))
+    return met.groupBy("name", "across", "down").applyInArrow(_copies, "name string, c0 long, c1 long").unionByName(equal).distinct()
 
 
 def _declarations(files: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -292,7 +340,7 @@ def not_handwritten(files: DataFrame, attributes: DataFrame | None = None, key:
     repository leaves content alone to speak; rows with the same key are one file if their texts are equal.
     """
     rows = files.select(F.col(key).cast("long").alias("id"), F.col(code).alias("code"), F.col(path).alias("path"), project(F.col(repo)).alias("project")).where("id is not null and code <> ''")
-    scanned = materialize(rows.select("id", "code", "path").mapInArrow(_scan, SCAN).dropDuplicates(["id", "c0", "c1"]), "scanned")
+    scanned = materialize(rows.select("id", "code", "path").mapInArrow(_scan, SCAN).distinct(), "scanned")
     places = materialize(rows.select("id", "project", "path", _dirs(F.col("path")).alias("dirs")).dropDuplicates(["id"]), "places")
 
     mined = places.select("id", F.explode("dirs").alias("dir")).join(packages(places.where("project is not null").select("id", "project", "dirs")), "dir", "left_semi").select("id").distinct()
@@ -309,13 +357,11 @@ def not_handwritten(files: DataFrame, attributes: DataFrame | None = None, key:
 
     full = scanned.join(placed, "id")
     third = full.where(F.col("name") != "").where(F.col("origin") | F.coalesce(F.try_element_at("said", F.lit("vendored")), F.col("placed") & F.col("said").isNull()))
-    least = third.groupBy("name", "c0", "c1").agg(F.min("id").alias("id"))
-    known = third.join(least, ["name", "c0", "c1", "id"], "left_semi").select(F.xxhash64("name").alias("print"), "id", "sketch")
-    asked = scanned.where(F.col("name") != "").select(F.xxhash64("name").alias("print"), "id", "sketch").join(known.select("print").distinct(), "print", "left_semi")
-    pairs = materialize(sharing(materialize(known, "known"), materialize(asked, "asked"), agree=0.85), "copypairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    sets = materialize(run_sets(join_checked(rows.select("id", "code"), wanted, "id", "left_semi"), "id", "code").dropDuplicates(["id"]), "sets")
-    copies = verified(pairs, sets, sets, COPIED).select(F.col("b").alias("id")).distinct().withColumn("copied", F.lit(True))
+    known = materialize(third.groupBy("name", "c0", "c1").agg(F.min("id").alias("id")), "known")
+    named = scanned.where(F.col("name") != "").join(known.select("name").distinct(), "name", "left_semi").select("id", "name", "c0", "c1")
+    asked = materialize(named.groupBy("name", "c0", "c1").agg(F.min("id").alias("id")), "asked")
+    like = materialize(copies_of(known, asked, rows), "copies")
+    copies = named.join(like, ["name", "c0", "c1"], "left_semi").select("id").distinct().withColumn("copied", F.lit(True))
 
     out = full.join(copies, "id", "left")
     no = F.lit(False)
