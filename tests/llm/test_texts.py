@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,44 @@ def test_subjects_without_labels_or_texts(spark):
     none = spark.createDataFrame([], "doc_id long, subject string, annotator string")
     assert subjects.subject_areas(df, none, known).count() == 0
     assert subjects.subject_areas(df.limit(0), none, known).count() == 0
+
+
+def test_subjects_are_learnt_from_all_documents(spark):
+    """Words that few of many documents hold: a sample of the documents would not know all of them."""
+    words, names = {s: v.split() for s, v in VOCABULARY.items()}, sorted(VOCABULARY)
+    rng = random.Random(5)
+    docs, labels, rare = [], [], {}
+    line = lambda s, *more: " ".join([*more, *rng.sample(words[s], 3)]) + "."
+    for i in range(24_000):
+        s = names[i % len(names)]
+        docs.append((i, line(s)))
+        if i % 10 == 0:
+            labels.append((i, s, "x"))
+    for n in range(30):
+        s, word = names[n % len(names)], "".join("bcdfghklmn"[int(d)] + "u" for d in f"{n:03}") + "zzing"
+        docs += [(30_000 + 10 * n + i, line(s, word)) for i in range(4)] + [(30_005 + 10 * n, f"{word}.")]
+        rare[30_005 + 10 * n] = s
+    known = spark.createDataFrame([(s, s) for s in names], "subject string, title string")
+    said = spark.createDataFrame(labels, "doc_id long, subject string, annotator string")
+    found = subjects.subject_areas(spark.createDataFrame(docs, "doc_id long, text string"), said, known).where("doc_id >= 30000")
+    got = {r["doc_id"]: r["subject"] for r in found.collect() if r["doc_id"] in rare}
+    assert got == rare
+
+
+def test_subjects_are_the_same_however_they_are_found(spark, monkeypatch):
+    docs, _, labels = _corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(s, s) for s in VOCABULARY], "subject string, title string")
+    said = spark.createDataFrame(labels, "doc_id long, subject string, annotator string")
+    rows = lambda d: sorted(map(tuple, subjects.subject_areas(d, said, known).collect()))
+    one = rows(df.coalesce(1))
+    assert rows(df.unionByName(df)) == sorted(one + one)  # an id counts once
+    monkeypatch.setattr(subjects, "HELD_ENTRIES", 0)  # no cluster is split in one task
+    assert rows(df.repartition(7)) == one
+
+
+def test_documents_without_vectors_do_not_stop_splits():
+    """Two rows without entries are furthest from everything, and nothing tells the others by them."""
+    rows = subjects._Rows(np.arange(6), np.array([2, 3, 4, 5]), np.array([0, 0, 1, 1]), np.ones(4), 2)
+    made = rows.splits(1, 2, 10)
+    assert len(made) == 1 and made[0][1] is not None and sorted(part[0] for part in made[0][2:]) == [2, 4]
